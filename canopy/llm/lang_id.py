@@ -156,3 +156,14 @@ def identify_language(docs: DataFrame, p: LangParams | None = None, carried: lis
     if carried is not None:
         return classify(docs, langs, prototypes, p, carried)
     return classify(docs.select("doc_id", held.alias("held_out"), "text"), langs, prototypes, p, ["doc_id", "held_out"])
+
+
+def keep_identified(docs: DataFrame, p: LangParams | None = None) -> DataFrame:
+    """The rows in whose text a language is found; all columns stay."""
+    p = p or LangParams()
+    names = docs.columns
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)), F.col("text"))
+    held = fold("doc_id", p.folds) == p.held_fold
+    langs, prototypes = learn_prototypes(docs.where(~held & F.col("lang").isNotNull()), p)
+    found = classify(inner, langs, prototypes, p, [f"_c{i}" for i in range(len(names))])
+    return found.where(F.col("lang_pred") != UNDETERMINED).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))

@@ -222,7 +222,7 @@ def scan_documents(docs: DataFrame, p: SecretParams | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, p: SecretParams | None = None, mark: str = "[secret]") -> DataFrame:
-    """The rows with each secret's span, overlapping ones together, replaced by a mark in column text; other columns stay."""
+    """The rows with each secret's span, overlapping ones together, replaced by a mark in column text; n_chars, if there is one, follows; other columns stay."""
     p = p or SecretParams()
     limits = discovery_limits(docs, p)
     at, fields = docs.columns.index("text"), docs.schema
@@ -244,4 +244,5 @@ def redact(docs: DataFrame, p: SecretParams | None = None, mark: str = "[secret]
             texts = pa.array([clean(t.as_py()) for t in batch.column(at)], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), texts)
 
-    return docs.mapInArrow(run, fields)
+    made = docs.mapInArrow(run, fields)
+    return made.withColumn("n_chars", F.length("text").cast(fields["n_chars"].dataType)) if "n_chars" in docs.columns else made
