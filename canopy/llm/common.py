@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,18 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(lower_az(text)) if text else []
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: str | int, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded text, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+        start = 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + most_bytes, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def fold(key: str, modulus: int) -> Column:
     """crc32 of a column's text form, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.llm.common import text_slices
+
 TERM = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 
@@ -251,7 +253,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, p: DecontaminationPara
         sent = spark.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in batches:
+            for batch in text_slices(batches, 1):
                 texts = [terms(t.as_py()) for t in batch.column(1)]
                 best: dict[tuple[int, int, int], tuple] = {}
                 for n_index, index in enumerate(sent.value):
@@ -280,7 +282,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, p: DecontaminationParam
         sent = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in batches:
+            for batch in text_slices(batches, at):
                 texts = [terms(t.as_py()) for t in batch.column(at)]
                 clean = np.ones(len(texts), bool)
                 for index in sent.value:
