@@ -113,8 +113,8 @@ class Heaps:
         self.floor = np.full(len(ids), -np.inf)
 
     def merge(self, i: np.ndarray, j: np.ndarray, score: np.ndarray) -> None:
-        starts = np.flatnonzero(np.diff(i, prepend=-1))
-        for a, b in zip(starts, [*starts[1:], len(i)], strict=True):
+        starts = np.flatnonzero(np.diff(i, prepend=-1))  # none, if all of the tile is below the floors
+        for a, b in zip(starts, [*starts[1:], len(i)][: len(starts)], strict=True):
             q, best = int(i[a]), {}
             for s, v in (*self.best[q], *zip((-score[a:b]).tolist(), j[a:b].tolist(), strict=True)):
                 best[v] = min(s, best.get(v, np.inf))
