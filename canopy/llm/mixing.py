@@ -52,16 +52,16 @@ def topic_and_tokens(text: str | None, p: MixParams) -> tuple[int, int]:
 
 
 def with_topics(docs: DataFrame, p: MixParams) -> DataFrame:
-    """The rows with _topic and _n_tokens."""
+    """The rows with __mix_topic and __mix_n_tokens."""
     at = docs.columns.index("text")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [topic_and_tokens(t.as_py(), p) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k for k, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int64())], names=[*batch.schema.names, "_topic", "_n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k for k, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int64())], names=[*batch.schema.names, "__mix_topic", "__mix_n_tokens"])
 
-    return docs.mapInArrow(run, f"{types}, _topic int, _n_tokens long")
+    return docs.mapInArrow(run, f"{types}, __mix_topic int, __mix_n_tokens long")
 
 
 def _key(column: str) -> Column:
@@ -106,32 +106,32 @@ def rake(cells: DataFrame, p: MixParams | None = None) -> DataFrame:
 
 
 def mix(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
-    """The rows with _topic, _n_tokens, _weight, _probability and _selected."""
+    """The rows with __mix_topic, __mix_n_tokens, __mix_weight, __mix_probability and __mix_selected."""
     p = p or MixParams()
-    keyed = with_topics(docs, p).withColumns({"_k0": _key("source"), "_k1": _key("lang"), "_k2": _key("_topic")})
+    keyed = with_topics(docs, p).withColumns({"__mix_k0": _key("source"), "__mix_k1": _key("lang"), "__mix_k2": _key("__mix_topic")})
     narrow = with_topics(docs.select("source", "lang", "text"), p)
-    cells = narrow.groupBy(_key("source").alias("k0"), _key("lang").alias("k1"), _key("_topic").alias("k2")).agg(F.sum("_n_tokens").alias("tokens"))
-    raked = staged(rake(cells, p).select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("weight").alias("_weight")))
+    cells = narrow.groupBy(_key("source").alias("k0"), _key("lang").alias("k1"), _key("__mix_topic").alias("k2")).agg(F.sum("__mix_n_tokens").alias("tokens"))
+    raked = staged(rake(cells, p).select(F.col("k0").alias("__mix_k0"), F.col("k1").alias("__mix_k1"), F.col("k2").alias("__mix_k2"), F.col("weight").alias("__mix_weight")))
     if raked.count() <= p.small:
         raked = F.broadcast(raked)
     draw = F.pmod(F.xxhash64(F.lit(p.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    weight = F.when(F.col("_n_tokens") > 0, F.coalesce("_weight", F.lit(1.0))).otherwise(1.0)
-    chance = F.least(F.lit(1.0), F.lit(p.rate) * F.col("_weight"))
+    weight = F.when(F.col("__mix_n_tokens") > 0, F.coalesce("__mix_weight", F.lit(1.0))).otherwise(1.0)
+    chance = F.least(F.lit(1.0), F.lit(p.rate) * F.col("__mix_weight"))
     return (
-        keyed.join(raked, ["_k0", "_k1", "_k2"], "left")
-        .withColumn("_weight", weight)
-        .withColumn("_probability", chance)
-        .withColumn("_selected", draw < F.col("_probability"))
-        .drop("_k0", "_k1", "_k2")
+        keyed.join(raked, ["__mix_k0", "__mix_k1", "__mix_k2"], "left")
+        .withColumn("__mix_weight", weight)
+        .withColumn("__mix_probability", chance)
+        .withColumn("__mix_selected", draw < F.col("__mix_probability"))
+        .drop("__mix_k0", "__mix_k1", "__mix_k2")
     )
 
 
 def mixed_documents(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, selected for each row."""
     made = mix(docs.select("doc_id", "source", "lang", "text"), p)
-    return made.select("doc_id", "source", "lang", *(F.col(f"_{c}").alias(c) for c in ("topic", "n_tokens", "weight", "probability", "selected")))
+    return made.select("doc_id", "source", "lang", *(F.col(f"__mix_{c}").alias(c) for c in ("topic", "n_tokens", "weight", "probability", "selected")))
 
 
 def sample_documents(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
     """The selected rows; all columns stay."""
-    return mix(docs, p).where("_selected").select(*docs.columns)
+    return mix(docs, p).where("__mix_selected").select(*docs.columns)

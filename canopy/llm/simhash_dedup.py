@@ -212,6 +212,6 @@ def drop_near_duplicates(docs: DataFrame, p: SimHashParams | None = None) -> Dat
     p = p or SimHashParams()
     prints = staged(fingerprints(with_row_id(docs.select("doc_id", "text"), "row"), ["row", "doc_id"], p))
     found = components(prints, p)
-    dropped = staged(prints.join(found, "fp").where(F.col("row") != F.col("kept")).select(F.col("row").alias("_dropped_row")))
-    rows = with_row_id(docs, "_row")
-    return rows.join(small_or_plain(dropped, 200_000), F.col("_row") == F.col("_dropped_row"), "left_anti").drop("_row")
+    dropped = staged(prints.join(found, "fp").where(F.col("row") != F.col("kept")).select(F.col("row").alias("__canopy_dropped")))
+    rows = with_row_id(docs, "__canopy_row")
+    return rows.join(small_or_plain(dropped, 200_000), F.col("__canopy_row") == F.col("__canopy_dropped"), "left_anti").drop("__canopy_row")

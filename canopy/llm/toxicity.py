@@ -163,7 +163,7 @@ class LabelModel:
             q = self.posterior(votes)
             clean, toxic = counts * (1 - q) + anchors[:, 0], counts * q + anchors[:, 1]
             self._shares(votes, clean, toxic)
-            self.prior = float(np.clip(toxic.sum() / (clean.sum() + toxic.sum()), 0.001, 0.999))
+            self.prior = float(np.clip(toxic.sum() / max(clean.sum() + toxic.sum(), 1e-9), 0.001, 0.999))
             self.weights = 1 / (1 + self._excess(votes, clean, toxic).sum(axis=1))
         return self
 
