@@ -61,7 +61,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _dense(schema: ArffSchema) -> Column:
-    return F.transform(F.split("line", ","), F.trim)
+    return F.transform(F.split("line", ","), lambda c: F.trim(c))
 
 
 def _sparse(schema: ArffSchema) -> Column:
@@ -69,7 +69,7 @@ def _sparse(schema: ArffSchema) -> Column:
     inner = F.regexp_replace("line", r"^\{\s*|\s*\}$", "")
     pairs = F.filter(F.transform(F.split(inner, ","), lambda p: F.split(F.trim(p), r"\s+", 2)), lambda p: F.size(p) == 2)
     places, n = F.transform(pairs, lambda p: p[0].try_cast("int")), len(schema.attributes)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(pairs, F.array_position(places, i).cast("int"))[1], F.when(i == n - 1, F.lit("?")).otherwise(F.lit("0"))))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(pairs, F.array_position(places, i).cast("int") - 1)[1], F.when(i == n - 1, F.lit("?")).otherwise(F.lit("0"))))
 
 
 def _cells(spark: SparkSession, path: str, schema: ArffSchema) -> DataFrame:
