@@ -157,7 +157,8 @@ class _Cell:
 
     low: np.ndarray
     high: np.ndarray
-    counts: np.ndarray
+    counts: list[float]
+    n: float = 0.0
     time: float = 0.0
     weight: float = 0.0
     log_weight: float = 0.0
@@ -179,7 +180,7 @@ class MondrianLearner:
         return self.right / self.seen if self.seen else 0.0
 
     def _shares(self, cell: _Cell) -> np.ndarray:
-        return (cell.counts + self.alpha) / (cell.counts.sum() + self.alpha * self.n_classes)
+        return (np.array(cell.counts) + self.alpha) / (cell.n + self.alpha * self.n_classes)
 
     def predict(self, x: np.ndarray) -> tuple[int | None, np.ndarray, int]:
         if self.root is None:
@@ -193,14 +194,16 @@ class MondrianLearner:
             votes = own * self._shares(cell) + (1 - own) * votes
         return last_max(votes), votes, len(path) - 1
 
-    def _update(self, cell: _Cell, x: np.ndarray, label: int, weigh: bool) -> None:
-        cell.low, cell.high = np.minimum(cell.low, x), np.maximum(cell.high, x)
+    def _update(self, cell: _Cell, x: np.ndarray, label: int, weigh: bool, outside: bool) -> None:
+        if outside:
+            cell.low, cell.high = np.minimum(cell.low, x), np.maximum(cell.high, x)
         if weigh:
-            cell.weight += self.c.step * math.log(self._shares(cell)[label])
+            cell.weight += self.c.step * math.log((cell.counts[label] + self.alpha) / (cell.n + self.alpha * self.n_classes))
         cell.counts[label] += 1
+        cell.n += 1
 
     def _split_time(self, cell: _Cell, label: int, total: float) -> float:
-        pure = cell.counts[label] == cell.counts.sum()
+        pure = cell.counts[label] == cell.n
         if total <= 0 or (pure and not self.c.split_pure):
             return 0.0
         time = cell.time + self.rng.exponential(1 / total)
@@ -212,27 +215,28 @@ class MondrianLearner:
         f = min(f, self.n_features - 1)
         above = x[f] > cell.high[f]
         threshold = self.rng.uniform(cell.high[f], x[f]) if above else self.rng.uniform(x[f], cell.low[f])
-        old = _Cell(cell.low.copy(), cell.high.copy(), cell.counts.copy(), time, cell.weight, cell.log_weight, cell.feature, cell.threshold, cell.children)
-        new = _Cell(x.copy(), x.copy(), np.zeros(self.n_classes), time)
+        old = _Cell(cell.low, cell.high, cell.counts.copy(), cell.n, time, cell.weight, cell.log_weight, cell.feature, cell.threshold, cell.children)
+        new = _Cell(x.copy(), x.copy(), [0.0] * self.n_classes, 0.0, time)
         cell.feature, cell.threshold, cell.children = f, threshold, [old, new] if above else [new, old]
         return new
 
     def train(self, x: np.ndarray, label: int, correct: bool) -> bool:
         self.seen, self.right = self.seen + 1, self.right + correct
         if self.root is None:
-            self.root = _Cell(x.copy(), x.copy(), np.zeros(self.n_classes))
+            self.root = _Cell(x.copy(), x.copy(), [0.0] * self.n_classes)
         cell, path = self.root, []
         while True:
             path.append(cell)
             beyond = np.maximum(np.maximum(cell.low - x, x - cell.high), 0)
-            time = self._split_time(cell, label, float(beyond.sum())) if cell.counts.any() else 0.0
+            total = float(beyond.sum())
+            time = self._split_time(cell, label, total) if cell.n else 0.0
             if time > 0:
                 leaf = self._split(cell, x, beyond, time)
-                self._update(cell, x, label, True)
-                self._update(leaf, x, label, False)
+                self._update(cell, x, label, True, True)
+                self._update(leaf, x, label, False, False)
                 path.append(leaf)
                 break
-            self._update(cell, x, label, True)
+            self._update(cell, x, label, True, total > 0)
             if not cell.children:
                 break
             cell = cell.children[int(x[cell.feature] > cell.threshold)]
