@@ -205,6 +205,13 @@ def info_gain_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gains(spark, sf_dir).select("feature", "i", F.round("point", 4).alias("point"), F.round("gain", 5).alias("gain"))
 
 
+@query(f"WITH {_GAINS} SELECT feature, CAST(i AS INTEGER) AS i, round(point, 4) AS point, round(gain, 5) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(gain, 8) DESC, i) AS place FROM gains) WHERE place = 1")
+def best_split_per_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate threshold of largest gain for each feature, the lowest of equals."""
+    best = F.max(F.struct(F.round("gain", 8).alias("rounded"), (-F.col("i")).alias("first"), "i", "point", "gain")).alias("b")
+    return _gains(spark, sf_dir).groupBy("feature").agg(best).select("feature", "b.i", F.round("b.point", 4).alias("point"), F.round("b.gain", 5).alias("gain"))
+
+
 @query(f"WITH {_GAINS}, best AS (SELECT feature, max(n) AS n, max(gain) AS gain FROM gains GROUP BY 1), b AS (SELECT max(gain) AS first, min(gain) AS second, max(n) AS n FROM best) SELECT round(first - second, 5) AS lead, round(sqrt(ln(1/0.01::DOUBLE)/(2*n)), 6) AS bound, first - second > sqrt(ln(1/0.01::DOUBLE)/(2*n)) OR sqrt(ln(1/0.01::DOUBLE)/(2*n)) < 0.05 AS splits FROM b")
 def hoeffding_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = _gains(spark, sf_dir).groupBy("feature").agg(F.max("n").alias("n"), F.max("gain").alias("gain"))
@@ -351,6 +358,43 @@ def adwin_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInPandas(run, "event_id long, event_type string, changed boolean, width long, mean double")
 
 
+@query()
+def histogram_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adaptive histograms of each user's values by event type, fed in order of id: a row for each bin that is left.
+
+    Rows without a value or a known type are not learned.
+    """
+    import pandas as pd
+
+    from canopy.operators.estimators import Histogram
+
+    def run(parts):  # noqa: ANN001, ANN202
+        open_key, histogram, made = None, None, []
+
+        def close() -> None:
+            if histogram is not None:
+                made.extend(zip([open_key] * len(histogram.means), range(len(histogram.means)), histogram.means.tolist(), histogram.by_class.tolist(), strict=True))
+
+        def frame() -> pd.DataFrame:
+            return pd.DataFrame(made, columns=["user_id", "bin", "mean", "weights"])
+
+        for part in parts:
+            for key, x, label in zip(part["user_id"].tolist(), part["value"].tolist(), part["label"].tolist(), strict=True):
+                if key != open_key:
+                    close()
+                    open_key, histogram = key, Histogram(len(EVENT_TYPES), 16)
+                    if len(made) >= 10_000:
+                        yield frame()
+                        made.clear()
+                histogram.update(x, label, 1.0)
+        close()
+        yield frame()
+
+    rows = _events(spark, sf_dir).select("user_id", "event_id", "value", _label().cast("int").alias("label")).where("user_id IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) AND label IS NOT NULL")
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "event_id")
+    return rows.mapInPandas(run, "user_id long, bin int, mean double, weights array<double>")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -77,6 +77,14 @@ def test_stream_equals_batch(spark, tmp_path, algorithm):
     assert sorted(got) == sorted(P.prequential(rows, config).collect())
 
 
+def test_histograms_keep_all_weight(spark):
+    events = spark.read.parquet(f"{SMALL}/events.parquet").where("user_id IS NOT NULL AND value IS NOT NULL AND event_type IS NOT NULL")
+    wanted = {r[0]: r[1] for r in events.groupBy("user_id").count().collect()}
+    made = Q.queries()["histogram_stream"](spark, SMALL).toPandas()
+    assert {k: sum(map(sum, w)) for k, w in made.groupby("user_id")["weights"]} == wanted
+    assert made.groupby("user_id")["mean"].apply(lambda m: m.is_monotonic_increasing).all() and made["bin"].max() < 16
+
+
 def test_all_abstain_takes_last_class(spark):
     rows = spark.createDataFrame([(0, 5, [], 1, False, 0.0, None, 0)], P.TREE_RESULT)
     assert voting.combine(rows, "soft", 3).first()["winner"] == 2
