@@ -14,22 +14,21 @@ from canopy.functions.exprs import argmax_last
 RESULT = "instance_id long, is_correct boolean, drift_detected boolean, avg_depth double"
 
 
-def ballots(rows: DataFrame, voting: str, n_classes: int) -> Column:
-    """What a tree puts in for each class."""
-    classes = F.sequence(F.lit(0), F.lit(n_classes - 1))
-    vote = lambda i: F.coalesce(F.try_element_at("votes", i + 1), F.lit(0.0))
+def ballots(voting: str, n_classes: int) -> list[Column]:
+    """What a tree puts in for each class; one plain column a class, so that each is worked out once and within generated code."""
+    classes = range(n_classes)
+    votes = [F.coalesce(F.get("votes", F.lit(i)), F.lit(0.0)) for i in classes]
     if voting == "soft":
-        return F.transform(classes, vote)
+        return votes
     if voting == "weighted":
-        return F.transform(classes, lambda i: vote(i) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("accuracy"))))
-    return F.transform(classes, lambda i: F.coalesce((F.col("predicted") == i).cast("double"), F.lit(0.0)))
+        return [v * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("accuracy"))) for v in votes]
+    return [F.coalesce((F.col("predicted") == i).cast("double"), F.lit(0.0)) for i in classes]
 
 
 def combine(rows: DataFrame, voting: str, n_classes: int, n_trees: int | None = None) -> DataFrame:
     """instance_id, label, winner, combined (array), drift_detected, avg_depth; for instances that all trees have answered, if told how many."""
-    own = rows.withColumn("_b", ballots(rows, voting, n_classes))
-    sums = [F.sum(F.element_at("_b", i + 1)).alias(f"_v{i}") for i in range(n_classes)]
-    out = own.groupBy("instance_id").agg(F.first("label", ignorenulls=True).alias("label"), F.bool_or("drift").alias("drift_detected"), F.avg("depth").alias("avg_depth"), F.count("*").alias("_n"), *sums)
+    sums = [F.sum(b).alias(f"_v{i}") for i, b in enumerate(ballots(voting, n_classes))]
+    out = rows.groupBy("instance_id").agg(F.first("label", ignorenulls=True).alias("label"), F.bool_or("drift").alias("drift_detected"), F.avg("depth").alias("avg_depth"), F.count("*").alias("_n"), *sums)
     if n_trees is not None:
         out = out.where(F.col("_n") == n_trees)
     combined = F.array(*(F.col(f"_v{i}") for i in range(n_classes)))
