@@ -49,7 +49,7 @@ def learn(instances: DataFrame, config: EnsembleConfig, n_features: int, n_class
                     runner = TreeRunner(config, int(tree_id), n_features, n_classes)
                 yield result_frame(step_rows(runner, own))
 
-    dealt = fan_out(instances, config.n_trees).repartitionByRange(config.n_trees, "tree_id").sortWithinPartitions("tree_id", "instance_id")
+    dealt = fan_out(instances, config.n_trees).repartitionById(config.n_trees, "tree_id").sortWithinPartitions("tree_id", "instance_id")
     return dealt.mapInPandas(run, TREE_RESULT)
 
 
