@@ -28,7 +28,7 @@ def votes_of(scores: np.ndarray) -> np.ndarray:
 
 
 def last_max(x: np.ndarray) -> int:
-    return len(x) - 1 - int(np.argmax(x[::-1]))
+    return len(x) - 1 - int(x[::-1].argmax())
 
 
 class GaussianStats:
@@ -48,7 +48,7 @@ class GaussianStats:
         self.m2[:, label] += k * d * (x - self.mean[:, label])
 
     def _deviation(self) -> np.ndarray:
-        return np.sqrt(np.divide(np.maximum(self.m2, 0), self.weight - 1, out=np.zeros_like(self.m2), where=self.weight > 1))
+        return np.sqrt(np.maximum(self.m2, 0) / np.where(self.weight > 1, self.weight - 1, np.inf))
 
     def likelihood(self, x: np.ndarray) -> np.ndarray:
         """Density of each feature's value in each class."""

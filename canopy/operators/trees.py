@@ -46,6 +46,7 @@ class HoeffdingTree:
         self.c, self.n_features, self.n_classes, self.rng = config, n_features, n_classes, rng
         self.fixed = self._draw() if config.type == "srp" else None
         self.root: _Leaf | _Branch = self._leaf()
+        self.told: tuple[_Leaf, np.ndarray, np.ndarray] | None = None
 
     def _draw(self) -> np.ndarray:
         return np.sort(self.rng.permutation(self.n_features)[: self.c.subspace_size(self.n_features)])
@@ -61,6 +62,12 @@ class HoeffdingTree:
         return node, above, depth
 
     def _bayes(self, leaf: _Leaf, x: np.ndarray) -> np.ndarray:
+        """Naive Bayes votes; an instance's votes serve both its prediction and the training on it that follows."""
+        if self.told is None or self.told[0] is not leaf or self.told[1] is not x:
+            self.told = leaf, x, self._bayes_votes(leaf, x)
+        return self.told[2]
+
+    def _bayes_votes(self, leaf: _Leaf, x: np.ndarray) -> np.ndarray:
         n = leaf.counts.sum()
         if not n:
             return np.full(self.n_classes, 1 / self.n_classes)
@@ -76,6 +83,7 @@ class HoeffdingTree:
         if leaf.counts.any():
             leaf.majority_right += k * (last_max(leaf.counts) == label)
         leaf.bayes_right += k * (last_max(self._bayes(leaf, x)) == label)
+        self.told = None  # the leaf changes now
         leaf.counts[label] += k
         leaf.stats.update(x[leaf.features], label, k)
         leaf.since += k
@@ -179,19 +187,23 @@ class MondrianLearner:
     def accuracy(self) -> float:
         return self.right / self.seen if self.seen else 0.0
 
-    def _shares(self, cell: _Cell) -> np.ndarray:
-        return (np.array(cell.counts) + self.alpha) / (cell.n + self.alpha * self.n_classes)
+    def _path(self, x: np.ndarray) -> list[_Cell]:
+        path, at = [self.root], x.tolist()
+        while (cell := path[-1]).children:
+            path.append(cell.children[at[cell.feature] > cell.threshold])
+        return path
 
     def predict(self, x: np.ndarray) -> tuple[int | None, np.ndarray, int]:
         if self.root is None:
             return None, np.zeros(0), 0
-        path = [self.root]
-        while path[-1].children:
-            path.append(path[-1].children[int(x[path[-1].feature] > path[-1].threshold)])
-        votes = self._shares(path[-1])
-        for cell in reversed(path[:-1]):
+        path = self._path(x)
+        shares, rest = [], 1.0  # each node's part in the votes, and what is left for those below it
+        for cell in path[:-1]:
             own = math.exp(min(0.0, cell.weight - cell.log_weight)) / 2 if cell.weight > cell.log_weight - 700 else 0.0
-            votes = own * self._shares(cell) + (1 - own) * votes
+            shares.append(rest * own)
+            rest *= 1 - own
+        totals = np.array([cell.n for cell in path]) + self.alpha * self.n_classes
+        votes = (np.array([*shares, rest]) / totals) @ (np.array([cell.counts for cell in path]) + self.alpha)
         return last_max(votes), votes, len(path) - 1
 
     def _update(self, cell: _Cell, x: np.ndarray, label: int, weigh: bool, outside: bool) -> None:
@@ -224,22 +236,18 @@ class MondrianLearner:
         self.seen, self.right = self.seen + 1, self.right + correct
         if self.root is None:
             self.root = _Cell(x.copy(), x.copy(), [0.0] * self.n_classes)
-        cell, path = self.root, []
-        while True:
-            path.append(cell)
-            beyond = np.maximum(np.maximum(cell.low - x, x - cell.high), 0)
-            total = float(beyond.sum())
+        path = self._path(x)
+        # An update of a node leaves the boxes below it as they are, so all can be measured at once.
+        beyond = np.maximum(np.maximum(np.array([c.low for c in path]) - x, x - np.array([c.high for c in path])), 0)
+        for i, (cell, total) in enumerate(zip(path, beyond.sum(axis=1).tolist(), strict=True)):
             time = self._split_time(cell, label, total) if cell.n else 0.0
             if time > 0:
-                leaf = self._split(cell, x, beyond, time)
+                leaf = self._split(cell, x, beyond[i], time)
                 self._update(cell, x, label, True, True)
                 self._update(leaf, x, label, False, False)
-                path.append(leaf)
+                path = [*path[: i + 1], leaf]
                 break
             self._update(cell, x, label, True, total > 0)
-            if not cell.children:
-                break
-            cell = cell.children[int(x[cell.feature] > cell.threshold)]
         for cell in reversed(path):
             if cell.children:
                 below = cell.children[0].log_weight + cell.children[1].log_weight
