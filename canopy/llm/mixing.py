@@ -105,12 +105,20 @@ def rake(cells: DataFrame, p: MixParams | None = None) -> DataFrame:
     return raked.select("k0", "k1", "k2", "tokens", (F.col("raked") / F.col("tokens")).alias("weight"))
 
 
+def _keyed(docs: DataFrame, p: MixParams) -> DataFrame:
+    """The rows with topic, tokens and the keys of their cells."""
+    return with_topics(docs, p).withColumns({"__mix_k0": _key("source"), "__mix_k1": _key("lang"), "__mix_k2": _key("__mix_topic")})
+
+
 def mix(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
     """The rows with __mix_topic, __mix_n_tokens, __mix_weight, __mix_probability and __mix_selected."""
     p = p or MixParams()
-    keyed = with_topics(docs, p).withColumns({"__mix_k0": _key("source"), "__mix_k1": _key("lang"), "__mix_k2": _key("__mix_topic")})
-    narrow = with_topics(docs.select("source", "lang", "text"), p)
-    cells = narrow.groupBy(_key("source").alias("k0"), _key("lang").alias("k1"), _key("__mix_topic").alias("k2")).agg(F.sum("__mix_n_tokens").alias("tokens"))
+    return _weighed(staged(_keyed(docs, p)), p)
+
+
+def _weighed(keyed: DataFrame, p: MixParams) -> DataFrame:
+    """Weights, probabilities and draws for keyed rows; they are read twice, so texts are split once if they are a table."""
+    cells = keyed.groupBy(*(F.col(f"__mix_k{d}").alias(f"k{d}") for d in range(3))).agg(F.sum("__mix_n_tokens").alias("tokens"))
     raked = staged(rake(cells, p).select(F.col("k0").alias("__mix_k0"), F.col("k1").alias("__mix_k1"), F.col("k2").alias("__mix_k2"), F.col("weight").alias("__mix_weight")))
     if raked.count() <= p.small:
         raked = F.broadcast(raked)
@@ -128,7 +136,8 @@ def mix(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, selected for each row."""
-    made = mix(docs.select("doc_id", "source", "lang", "text"), p)
+    p = p or MixParams()
+    made = _weighed(staged(_keyed(docs.select("doc_id", "source", "lang", "text"), p).drop("text")), p)
     return made.select("doc_id", "source", "lang", *(F.col(f"__mix_{c}").alias(c) for c in ("topic", "n_tokens", "weight", "probability", "selected")))
 
 
