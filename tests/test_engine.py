@@ -53,6 +53,11 @@ def test_learns(spark, algorithm):
     assert len(r) == 900 and r.is_correct[300:].mean() > 0.75
 
 
+def test_each_tree_has_a_task_of_its_own(spark):
+    told = P.learn(blobs(spark), EnsembleConfig("x", 7, 0, MondrianConfig()), 3, 2).select("tree_id", F.spark_partition_id().alias("part")).distinct().collect()
+    assert len(told) == 7 == len({r["part"] for r in told}) == len({r["tree_id"] for r in told})
+
+
 def test_drift_is_found_and_passed(spark):
     r = P.prequential(blobs(spark, 2400, 1200), EnsembleConfig("x", 3, 0, GAUSS, "soft")).toPandas().sort_values("instance_id")
     assert r.drift_detected[1200:1800].any() and r.is_correct[1900:].mean() > 0.8
