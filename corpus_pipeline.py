@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import decontaminate, lang_id, mixing, secret_scan, simhash_dedup
+from canopy.llm import decontaminate, lang_id, mixing, near_copies, secret_scan
 from canopy.llm.common import staged, table
 
 
@@ -14,8 +14,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked fingerprints, the one of smallest id."""
-    return simhash_dedup.drop_near_duplicates(docs)
+    """Keeps one document of each component of near copies (five-word Jaccard of at least 0.8), the one of smallest id."""
+    return near_copies.drop_near_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("secrets", secrets), ("mixture", mixture)]
 
-#: Learned prototypes, fingerprint groups, hashed topics and raking are beyond SQL; tests hold the stages against brute force.
+#: Learned prototypes, groups of near copies, hashed topics and raking are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from canopy.llm import ann_join, decontaminate, lang_id, lm_score, mixing, quality_pu, queries, secret_scan, simhash_dedup, toxicity, url_filter
-from canopy.llm.common import table
+from canopy.llm import ann_join, decontaminate, lang_id, lm_score, mixing, near_copies, quality_pu, queries, secret_scan, simhash_dedup, toxicity, url_filter
+from canopy.llm.common import staged, table
 from canopy.llm.components import connected_components
 from tests.conftest import SMALL
 
@@ -311,3 +311,37 @@ def test_stages_with_odd_documents(spark, odd, stage):
     some = odd.drop("score", "fp", "token")
     assert stage(spark, some, SMALL).columns == some.columns and stage(spark, some.where("false"), SMALL).count() == 0
     stage(spark, odd, SMALL).count()
+
+
+def test_near_copies_by_brute_force(spark, docs):
+    rng = random.Random(7)
+    rows = [(r["doc_id"], r["text"]) for r in docs.limit(60).collect()]
+    for base in range(12):  # clusters of edited copies, on a common text
+        own = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(30, 400))]
+        for _ in range(8):
+            new = list(own)
+            for _ in range(rng.randint(0, max(1, len(own) // 22))):
+                at = rng.randrange(len(new))
+                new[at : at + rng.randint(0, 1)] = [f"v{rng.randrange(3000)}"] * rng.randint(0, 2)
+            rows.append((1000 + len(rows), " ".join(new)))
+    rows += [(None, "the cat"), (5000, "The  CAT"), (5001, None), (5002, ""), (5003, "the cat sat"), (5004, "a b c d e f g h i"), (5005, "a b c d e f g h")]
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} if w else set())
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]) > 0:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    groups = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        groups.setdefault(r, []).append(i)
+    wanted = sorted(min((x is None, x or 0) for x in g) for g in groups.values())
+    frame = staged(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    for p in (near_copies.NearCopyParams(), near_copies.NearCopyParams(sample=1)):
+        got = near_copies.drop_near_copies(frame, p)
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == wanted
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in stage(spark, frame, SMALL).collect()) == wanted
