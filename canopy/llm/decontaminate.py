@@ -4,8 +4,9 @@ The index holds, for each term, its items with their BM25 impacts, as shares of
 their largest impact.  A passage is a window of twice the longest item's words, moved on by half its width, so that any copy of an
 item lies whole in one.  The largest impacts of a passage's terms are added up for all passages of a batch at once; those that
 can't reach the threshold go, and the others are searched by block-max WAND for all items above it.  A hit stands if the passage
-holds enough of the five-word shingles of the item's question and of its answer.  The answer is the item's last sentence or line; an
-item of one sentence has none.
+holds enough of the five-word shingles of the item's question and of its answer, or of the whole item.  The answer is the item's last
+sentence or line; an item of one sentence has none.  An item's threshold is lowered to the least score of a passage that holds enough
+of the whole item, so that the search misses none of these.
 
 Words are runs of letters, digits and underscores, in lower case.  Null and empty texts and items match nothing.  Rows are judged
 one by one, so repeated rows give repeated results; items that repeat are found each.  Items are indexed in parts of bounded
@@ -36,7 +37,7 @@ _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 class DecontaminationParams:
     k1: float = 1.2
     b: float = 0.75
-    #: Least BM25 score of a hit, as a share of the item's score against itself.
+    #: Least BM25 score of a hit, as a share of the item's score against itself; less for items that can score less at enough overlap.
     threshold: float = 0.65
     shingle: int = 5
     overlap: float = 0.8
@@ -59,6 +60,23 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (text, "") if len(pieces) < 2 else (text[: text.rindex(pieces[-1])], pieces[-1])
 
 
+def most_lost(values: list[float], k: int, lost: int) -> float:
+    """The largest sum of words' values that is gone with so many of a text's shingles of k words; a word goes with all that hold it."""
+    n = len(values) - k + 1
+    best = np.full((k + 1, lost + 1), -np.inf)  # by lost shingles in a row up to here, and lost in all
+    best[0, 0] = 0.0
+    for s in range(n):
+        new = np.full_like(best, -np.inf)
+        new[0] = best.max(axis=0)
+        new[1:, 1:] = best[:-1, :-1]
+        new[k, 1:] = np.maximum(new[k, 1:], best[k, :-1])
+        new[min(k, s + 1) :] += values[s]
+        best = new
+    for i in range(n, len(values)):
+        best[n - max(0, i - k + 1) :] += values[i]
+    return float(best.max())
+
+
 class ItemIndex:
     """Postings of some items of about the same length."""
 
@@ -67,6 +85,8 @@ class ItemIndex:
         tokens = [terms(t) for _, t in items]
         self.stride = max(len(t) for t in tokens)
         halves = [question_and_answer(t) for _, t in items]
+        self.wholes = [shingles(t, p.shingle) for t in tokens]
+        self.scale: list[float] = []  # of impacts, so that one threshold holds for all items
         self.questions, self.answers = ([shingles(terms(h[k]), p.shingle) for h in halves] for k in (0, 1))
         self.terms: dict[str, int] = {}
         postings: list[list[tuple[int, float]]] = []
@@ -74,6 +94,10 @@ class ItemIndex:
             norm = p.k1 * (1 - p.b + p.b * len(words) / mean_length)
             impacts = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * tf * (p.k1 + 1) / (tf + norm) for t, tf in Counter(words).items()}
             own = sum(impacts.values())
+            k, times = min(p.shingle, len(words)), Counter(words)
+            lost = most_lost([impacts[t] / own / times[t] for t in words], k, int((1 - p.overlap) * (len(words) - k + 1) + 1e-9))
+            self.scale.append(max(1.0, p.threshold / max(1e-3, 1 - lost - 1e-9)))
+            own /= self.scale[-1]
             for t, x in impacts.items():
                 at = self.terms.setdefault(t, len(self.terms))
                 if at == len(postings):
@@ -196,8 +220,8 @@ class ItemIndex:
             passage = shingles_of_lengths(texts[n][first : first + 2 * stride])
             for item, score in found:
                 q, a = passage(self.questions[item]), passage(self.answers[item])
-                if q >= self.p.overlap and not a < self.p.overlap:
-                    yield n, item, first, score, q, a
+                if (q >= self.p.overlap and not a < self.p.overlap) or passage(self.wholes[item]) >= self.p.overlap:
+                    yield n, item, first, score / self.scale[item], q, a
 
 
 def shingles_of_lengths(tokens: list[str]):  # noqa: ANN201

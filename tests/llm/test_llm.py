@@ -345,3 +345,36 @@ def test_near_copies_by_brute_force(spark, docs):
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == wanted
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in stage(spark, frame, SMALL).collect()) == wanted
+
+
+def test_contamination_of_items_edited_at_each_place(spark):
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choices(common, k=40)) + f". The answer{i} is.") for i in range(30)]
+    items.append((30, " ".join(common) + " and more. " + " ".join(f"rare{i}" for i in range(8)) + "."))
+    rows, wanted = [], set()
+    for i, text in items[:1] + items[-1:]:
+        own = text.split()
+        for at in range(len(own)):
+            rows += [own[:at] + ["changed"] + own[at + 1 :], own[:at] + own[at + 1 :], own[:at] + ["added"] + own[at:], own[:at]]
+    texts = [(n, " ".join(rng.choices(["x", "y", "z"], k=n % 60)) + " " + " ".join(r) + " end") for n, r in enumerate(rows)]
+    for n, text in texts:
+        share = decontaminate.shingles_of_lengths(decontaminate.terms(text))
+        for i, t in items:
+            q, a = (share(decontaminate.shingles(decontaminate.terms(x), 5)) for x in decontaminate.question_and_answer(t))
+            if (q >= 0.8 and not a < 0.8) or share(decontaminate.shingles(decontaminate.terms(t), 5)) >= 0.8:
+                wanted.add((n, i))
+    got = decontaminate.find_contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == wanted and {i for _, i in wanted} == {0, 30}
+
+
+def test_most_lost_words_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        n, k = rng.randint(3, 10), rng.randint(1, 3)
+        values, s = [rng.random() for _ in range(n)], n - k + 1
+        lost, best = rng.randint(0, s), 0.0
+        for mask in range(1 << s):
+            if mask.bit_count() <= lost:
+                best = max(best, sum(v for i, v in enumerate(values) if all(mask >> j & 1 for j in range(max(0, i - k + 1), min(s - 1, i) + 1))))
+        assert decontaminate.most_lost(values, k, lost) == pytest.approx(best)
