@@ -2,7 +2,9 @@
 
 Tokens are summed over cells of source, language and topic.  Raking scales the cells in turn so that each margin meets its
 target share, until no factor differs from 1 by more than the tolerance.  A text's weight is its cell's raked tokens over
-its cell's tokens, and it is kept with probability `rate * weight`, 1 at most, by a hash of its id.
+its cell's tokens, and it is kept with probability `rate * weight` by a hash of its id.  For a sample no weight may pass `1 / rate`:
+raking then cuts cells at that in each step, and the steps after make up for the cut in other cells.  A value whose target is more
+than all of its tokens gets all, and the others of its dimension share the rest by their targets; `margins` tells which these are.
 
 Targets are shares by value; without any, a margin's target is its own shares raised to `temper` and scaled to 1.  Values that no
 target names keep their tempered share of what the named ones leave.  Cells without tokens stay out; margins that can't be met
@@ -70,26 +72,48 @@ def _key(column: str) -> Column:
 
 
 def _target_shares(margin: DataFrame, dimension: int, p: MixParams) -> DataFrame:
-    """key, share: the target of each value of a margin (key, tokens)."""
+    """key, tokens, share: the target of each value of a margin (key, tokens)."""
     named = {f"={k}": float(v) for k, v in p.targets.get(DIMENSIONS[dimension], {}).items()}
     power = F.pow(F.col("tokens").cast("double"), F.lit(p.temper[dimension]))
     if not named:
         total = margin.agg(F.sum(power)).first()[0] or 1.0
-        return margin.select("key", (power / total).alias("share"))
+        return margin.select("key", "tokens", (power / total).alias("share"))
     given = F.create_map(*(F.lit(x) for kv in named.items() for x in kv))[F.col("key")]
     rest = max(0.0, 1 - sum(named.values()))
     others = margin.where(given.isNull()).agg(F.sum(power)).first()[0] or 1.0
-    return margin.select("key", F.coalesce(given, power / others * rest).alias("share"))
+    return margin.select("key", "tokens", F.coalesce(given, power / others * rest).alias("share"))
 
 
-def rake(cells: DataFrame, p: MixParams | None = None) -> DataFrame:
-    """k0, k1, k2, tokens, weight: cells of (k0, k1, k2, tokens), tokens over 0, with raked tokens as a multiple of their own."""
+def _margin_shares(cells: DataFrame, dimension: int, p: MixParams) -> DataFrame:
+    return _target_shares(cells.groupBy(F.col(f"k{dimension}").alias("key")).agg(F.sum("tokens").alias("tokens")), dimension, p)
+
+
+def _reachable(margin: DataFrame, most: float) -> DataFrame:
+    """key, tokens, target, share: of (key, tokens, share), shares that `most` times the tokens allow; what some can't get goes to the others."""
+    tokens, target = margin.agg(F.sum("tokens"), F.sum("share")).first()
+    if not tokens:
+        return margin.select("key", "tokens", F.col("share").alias("target"), "share")
+    limit, scale = F.col("tokens") * (most / tokens), 1.0
+    while True:
+        full = F.col("share") * scale >= limit
+        taken, left = margin.agg(F.sum(F.when(full, limit)), F.sum(F.when(~full, F.col("share")))).first()
+        new = (target - (taken or 0.0)) / left if left else scale
+        if new <= scale * (1 + 1e-12):
+            break
+        scale = new
+    return margin.select("key", "tokens", F.col("share").alias("target"), F.least(limit, F.col("share") * scale).alias("share"))
+
+
+def rake(cells: DataFrame, p: MixParams | None = None, most: float | None = None) -> DataFrame:
+    """k0, k1, k2, tokens, weight: cells of (k0, k1, k2, tokens), tokens over 0, with raked tokens as a multiple of their own, `most` at most."""
     p = p or MixParams()
     cells = staged(cells.where("tokens > 0").groupBy("k0", "k1", "k2").agg(F.sum("tokens").cast("double").alias("tokens")))
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     margins = []
     for d in range(3):
-        margin = staged(_target_shares(cells.groupBy(F.col(f"k{d}").alias("key")).agg(F.sum("tokens").alias("tokens")), d, p))
+        margin = staged(_margin_shares(cells, d, p))
+        margin = margin if most is None else staged(_reachable(margin, most))
+        margin = margin.select("key", "share")
         margins.append((margin, margin.count() <= p.small))
     raked = cells.withColumn("raked", F.col("tokens"))
     for _ in range(p.rounds):
@@ -98,7 +122,9 @@ def rake(cells: DataFrame, p: MixParams | None = None) -> DataFrame:
             sums = raked.groupBy(F.col(f"k{d}").alias("key")).agg(F.sum("raked").alias("now")).join(margin, "key")
             factor = sums.select("key", F.when(F.col("now") > 0, F.col("share") * total / F.col("now")).otherwise(0.0).alias("factor"))
             raked = raked.join(F.broadcast(factor) if small else factor, F.col(f"k{d}") == F.col("key"))
-            raked = raked.select("k0", "k1", "k2", "tokens", (F.col("raked") * F.col("factor")).alias("raked"), F.greatest("off", F.abs(F.col("factor") - 1)).alias("off"))
+            new = F.col("raked") * F.col("factor")
+            new = new if most is None else F.least(new, F.col("tokens") * most)
+            raked = raked.select("k0", "k1", "k2", "tokens", new.alias("raked"), F.greatest("off", F.abs(F.col("factor") - 1)).alias("off"))
         raked = staged(raked)
         if (raked.agg(F.max("off")).first()[0] or 0.0) <= p.tolerance:
             break
@@ -119,12 +145,12 @@ def mix(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
 def _weighed(keyed: DataFrame, p: MixParams) -> DataFrame:
     """Weights, probabilities and draws for keyed rows; they are read twice, so texts are split once if they are a table."""
     cells = keyed.groupBy(*(F.col(f"__mix_k{d}").alias(f"k{d}") for d in range(3))).agg(F.sum("__mix_n_tokens").alias("tokens"))
-    raked = staged(rake(cells, p).select(F.col("k0").alias("__mix_k0"), F.col("k1").alias("__mix_k1"), F.col("k2").alias("__mix_k2"), F.col("weight").alias("__mix_weight")))
+    raked = staged(rake(cells, p, 1 / p.rate).select(F.col("k0").alias("__mix_k0"), F.col("k1").alias("__mix_k1"), F.col("k2").alias("__mix_k2"), F.col("weight").alias("__mix_weight")))
     if raked.count() <= p.small:
         raked = F.broadcast(raked)
     draw = F.pmod(F.xxhash64(F.lit(p.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 53)) / F.lit(float(1 << 53))
     weight = F.when(F.col("__mix_n_tokens") > 0, F.coalesce("__mix_weight", F.lit(1.0))).otherwise(1.0)
-    chance = F.least(F.lit(1.0), F.lit(p.rate) * F.col("__mix_weight"))
+    chance = F.least(F.lit(1.0), F.lit(p.rate) * F.col("__mix_weight"))  # more than 1 by rounding only
     return (
         keyed.join(raked, ["__mix_k0", "__mix_k1", "__mix_k2"], "left")
         .withColumn("__mix_weight", weight)
@@ -141,6 +167,24 @@ def mixed_documents(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
     return made.select("doc_id", "source", "lang", *(F.col(f"__mix_{c}").alias(c) for c in ("topic", "n_tokens", "weight", "probability", "selected")))
 
 
+def margins(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
+    """dimension, key, tokens, target, reachable, expected: for each value its target share, the share its tokens allow and the kept tokens' expected share.
+
+    A target can't be met at this rate where reachable is less; the rate at which it can is tokens / (all tokens * target).
+    """
+    p = p or MixParams()
+    made = staged(_weighed(staged(_keyed(docs.select("doc_id", "source", "lang", "text"), p).drop("text")), p))
+    made = made.where("__mix_n_tokens > 0").withColumns({"k0": _key("source"), "k1": _key("lang"), "k2": _key("__mix_topic"), "tokens": F.col("__mix_n_tokens").cast("double")})
+    kept, out = F.sum(F.col("tokens") * F.col("__mix_probability")), None
+    total = made.agg(kept).first()[0] or 1.0
+    for d, name in enumerate(DIMENSIONS):
+        expected = made.groupBy(F.col(f"k{d}").alias("key")).agg((kept / total).alias("expected"))
+        found = _reachable(staged(_margin_shares(made, d, p)), 1 / p.rate).join(expected, "key")
+        found = found.select(F.lit(name).alias("dimension"), "key", "tokens", "target", F.col("share").alias("reachable"), "expected")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def sample_documents(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
     """The selected rows; all columns stay."""
     return mix(docs, p).where("__mix_selected").select(*docs.columns)

@@ -378,3 +378,19 @@ def test_most_lost_words_by_brute_force():
             if mask.bit_count() <= lost:
                 best = max(best, sum(v for i, v in enumerate(values) if all(mask >> j & 1 for j in range(max(0, i - k + 1), min(s - 1, i) + 1))))
         assert decontaminate.most_lost(values, k, lost) == pytest.approx(best)
+
+
+def test_sample_meets_margins(spark):
+    rng = random.Random(4)
+    sources = ["hot"] * 40 + [f"s{i}" for i in range(12)] * 5
+    rows = [(n, " ".join(rng.choices(["monday", "tuesday", "thursday", "saturday"], k=1) * 30), rng.choice(["en", "en", "en", "de", "es"]), rng.choice(sources)) for n in range(4000)]
+    rows += [(5000 + n, "a b c", "fr", "hot") for n in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    p = mixing.MixParams(rate=0.7, rounds=60)
+    found = mixing.margins(frame, p).toPandas()
+    assert found.expected.to_numpy() == pytest.approx(found.reachable.to_numpy(), rel=0.01)
+    short = found[found.reachable < found.target * 0.999]
+    assert "=fr" in set(short.key) and (found[found.dimension == "source"].reachable >= found[found.dimension == "source"].target * 0.999).all()
+    kept = mixing.mixed_documents(frame, p).where("selected").groupBy("source").agg(F.sum("n_tokens").alias("n")).toPandas()
+    want = found[found.dimension == "source"].set_index("key").target
+    assert [n / kept.n.sum() for n in kept.n] == pytest.approx([want[f"={s}"] for s in kept.source], rel=0.2)
