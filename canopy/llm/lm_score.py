@@ -16,17 +16,17 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import WORD, fold, lower_az, staged, with_row_id
+from canopy.llm.common import binaries, fold, from_binaries, staged, sums_by, text_slices, tokenise
 
 END = "\n"  # never a word, as words hold no white space
 
@@ -40,19 +40,23 @@ class LmParams:
     shared_classes: int = 128
     #: Words whose counts are sent to all tasks, at most; the counts of the others are joined.
     dictionary: int = 131_072
+    #: Bytes of text that are cut into words together, about.
+    chunk: int = 16_000_000
     width: int = 24
     noise: int = 64
     batch: int = 4096
     rounds: int = 2
     rate: float = 0.15
     seed: int = 7
+    #: Models that are averaged in one group, at most.
+    fan_in: int = 64
 
 
 @dataclass(frozen=True)
 class Vocabulary:
     """Dictionary words with counts and classes.  Classes: own words, then shared ones, then the start of a text."""
 
-    index: dict[str, int]
+    words: pa.StringArray
     counts: np.ndarray
     classes: np.ndarray
     class_tokens: np.ndarray
@@ -75,27 +79,49 @@ class Vocabulary:
 
 
 def shared_class(word: str, n: int) -> int:
-    return zlib.crc32(word[-2:].encode()) % n
+    return zlib.crc32(word[-2:].encode("utf-8", "replace")) % n
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"token": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+def _chunked(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in text_slices(batches, "text", most_bytes):
+        if held and size + batch.column("text").nbytes > most_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(batch)
+        size += batch.column("text").nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(WORD.findall(lower_az(text.as_py() or "")))
-            counts[END] += 1
-            if len(counts) > 300_000:
-                yield out(counts)
-                counts = Counter()
-    yield out(counts)
 
+def _listed(values: pa.Array) -> pa.ListArray:
+    """One list of all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-def count_tokens(texts: DataFrame) -> DataFrame:
-    """token, n over all rows of a column of texts; each task sums what it sees before the shuffle."""
-    return texts.mapInArrow(_count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+def split_texts(rows: DataFrame, p: LmParams) -> DataFrame:
+    """Texts of (doc_id, held_out, text) as numbers of words, many texts in a row, with the words and their counts in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 24
+        for k, batch in enumerate(_chunked(batches, p.chunk)):
+            held = batch.column("held_out").to_numpy(zero_copy_only=False)
+            found = tokenise(batch.column("text"))
+            n = np.bincount(found.ids[np.repeat(~held, found.sizes)], minlength=len(found.words))
+            made = {"chunk": [first + k], "doc_id": _listed(batch.column("doc_id")), "held_out": _listed(batch.column("held_out")), "sizes": [found.sizes.astype(np.int32).tobytes()]}
+            yield pa.RecordBatch.from_pydict(made | {"ids": [found.ids.tobytes()], "words": _listed(found.words), "n": _listed(pa.array(n, pa.int64()))})
+
+    schema = f"chunk long, doc_id array<{dict(rows.dtypes)['doc_id']}>, held_out array<boolean>, sizes binary, ids binary, words array<string>, n array<bigint>"
+    return rows.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+
+
+def count_tokens(chunks: DataFrame) -> DataFrame:
+    """token, n over the training texts of split texts; the end token counts once a text."""
+    words = chunks.select(F.inline(F.arrays_zip("words", "n"))).where("n > 0").select(F.col("words").alias("token"), "n")
+    ends = chunks.select(F.lit(END).alias("token"), F.size(F.filter("held_out", lambda x: ~x)).cast("long").alias("n")).where("n > 0")
+    return words.unionByName(ends).groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def build_vocabulary(counts: DataFrame, p: LmParams) -> tuple[Vocabulary, float]:
@@ -126,50 +152,46 @@ def build_vocabulary(counts: DataFrame, p: LmParams) -> tuple[Vocabulary, float]
     for t, k in zip(tokens, n, strict=True):
         if t in own_id:
             class_tokens[own_id[t]], class_words[own_id[t]] = k, 1
-    index = {t: i for i, t in enumerate(tokens)}
-    return Vocabulary(index, n, classes, class_tokens, class_words, len(own), p.shared_classes, int(n_tokens), int(n_words)), least
+    return Vocabulary(pa.array(tokens, pa.string()), n, classes, class_tokens, class_words, len(own), p.shared_classes, int(n_tokens), int(n_words)), least
 
 
-_RARE = pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int64())]))
-_ENCODED = [("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("inside", pa.float64()), ("classes", pa.binary()), ("rare", _RARE)]
-_ENCODED_SQL = "n_tokens long, known long, base double, inside double, classes binary, rare array<struct<token:string,tf:long>>"
+_ENCODED_SQL = "rid long, doc_id {}, held_out boolean, n_tokens long, known long, base double, inside double, classes binary, rare array<struct<token:string,tf:long>>"
 
 
-def encode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """For rows of (rid, doc_id, held_out, text): the classes of a text's tokens, the sums over its dictionary words, and its other words with their counts in it."""
-    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
+def encode(chunks: DataFrame, vocabulary: Vocabulary, doc_id_type: str) -> DataFrame:
+    """For each text: the classes of its tokens, the sums over its dictionary words, and its other words with their counts in it."""
+    sent = chunks.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
         log_n, log_inside = np.log10(v.counts + 0.1), v.log_within()
         inside = np.where(v.classes < v.n_own, 0, log_n - log_inside[v.classes])
-        lookup, bucket = v.index.get, lru_cache(100_000)(lambda end: shared_class(end, v.n_shared))
-        divisor = math.log10(v.n_tokens + 0.1 * (v.n_words + 1))
+        divisor, end = math.log10(v.n_tokens + 0.1 * (v.n_words + 1)), pc.index(v.words, END).as_py()
         for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column("text"):
-                tokens = WORD.findall(lower_az(text.as_py() or ""))
-                tokens.append(END)
-                ids = np.array([lookup(t, -1) for t in tokens], np.int64)
-                at = np.flatnonzero(ids < 0)
-                known = ids[ids >= 0]
-                classes = np.empty(len(ids), np.int16)
-                classes[ids >= 0] = v.classes[known]
-                rare: Counter = Counter()
-                within = float(inside[known].sum())
-                if len(at):
-                    missing = [tokens[i] for i in at]
-                    classes[at] = shared = [v.n_own + bucket(t[-2:]) for t in missing]
-                    within -= float(log_inside[shared].sum())
-                    rare.update(missing)
-                base = float(log_n[known].sum()) - len(tokens) * divisor
-                out.append((len(tokens), int((v.counts[known] > 0).sum()), base, within, classes.tobytes(), [{"token": t, "tf": k} for t, k in rare.items()]))
-            if out:
-                made = [pa.array(x, t) for x, (_, t) in zip(zip(*out, strict=True), _ENCODED, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["rid", "doc_id", "held_out", *(k for k, _ in _ENCODED)])
-
-    kept = rows.select("rid", "doc_id", "held_out", "text")
-    return kept.mapInArrow(run, f"rid long, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, {_ENCODED_SQL}")
+            for k in range(batch.num_rows):
+                sizes, ids = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in ("sizes", "ids"))
+                words = batch.column("words")[k].values
+                at = np.asarray(pc.fill_null(pc.index_in(words, value_set=v.words), -1))
+                known = at >= 0
+                w_classes, w_inside = np.empty(len(at), np.int16), np.empty(len(at))
+                w_classes[known], w_inside[known] = v.classes[at[known]], inside[at[known]]
+                ends = pc.utf8_slice_codeunits(words.filter(pa.array(~known)), -2).dictionary_encode()
+                shared = v.n_own + np.array([shared_class(x, v.n_shared) for x in ends.dictionary.to_pylist()], np.int16)
+                w_classes[~known] = shared[np.asarray(ends.indices)]
+                w_inside[~known] = -log_inside[w_classes[~known]]
+                w_logs = np.where(known, log_n[at], 0.0)
+                w_seen = known & (v.counts[at] > 0)
+                n_tokens = sizes.astype(np.int64) + 1
+                classes = np.insert(w_classes[ids], np.cumsum(sizes), v.classes[end])
+                rare = np.flatnonzero(~known[ids])
+                keys, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes)[rare] * len(words) + ids[rare], return_counts=True)
+                pairs = pa.StructArray.from_arrays([words.take(pa.array(keys % max(1, len(words)))), pa.array(tf, pa.int64())], names=["token", "tf"])
+                starts = np.searchsorted(keys, np.arange(len(sizes) + 1) * len(words))
+                made = {"rid": (batch.column("chunk")[k].as_py() << 24) + np.arange(len(sizes)), "doc_id": batch.column("doc_id")[k].values, "held_out": batch.column("held_out")[k].values, "n_tokens": n_tokens}
+                made |= {"known": sums_by(w_seen[ids], sizes) + int(v.counts[end] > 0), "base": sums_by(w_logs[ids], sizes) + log_n[end] - n_tokens * divisor, "inside": sums_by(w_inside[ids], sizes) + inside[end]}
+                yield pa.RecordBatch.from_pydict(made | {"classes": binaries(classes, n_tokens), "rare": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pairs)})
+
+    return chunks.select("chunk", "doc_id", "held_out", "sizes", "ids", "words").mapInArrow(run, _ENCODED_SQL.format(doc_id_type))
 
 
 @dataclass
@@ -215,14 +237,13 @@ class LogBilinear:
         return out
 
 
-def contexts(classes: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nearer word, farther word and target of every token of some texts."""
-    padded = np.concatenate([np.concatenate(([start, start], x)) for x in classes])
-    keep = np.ones(len(padded), bool)
-    first = np.cumsum([0, *(len(x) + 2 for x in classes[:-1])])
-    keep[first] = keep[first + 1] = False
-    at = np.flatnonzero(keep)
-    return padded[at - 1], padded[at - 2], padded[at]
+def contexts(classes: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nearer and farther word of every token of some texts that lie one after the other."""
+    near, far = np.full_like(classes, start), np.full_like(classes, start)
+    near[1:], far[2:] = classes[:-1], classes[:-2]
+    first = np.cumsum(sizes) - sizes
+    near[first[sizes > 0]] = far[first[sizes > 0]] = far[first[sizes > 1] + 1] = start
+    return near, far
 
 
 class NceTrainer:
@@ -235,37 +256,44 @@ class NceTrainer:
         self.squares = [np.full(x.shape, 1e-3, np.float32) for x in model.parts()]
         self.seen = 0
 
-    def _step(self, part: int, at: np.ndarray | slice, gradient: np.ndarray) -> None:
-        self.squares[part][at] += gradient * gradient
-        self.m.parts()[part][at] -= self.p.rate * gradient / np.sqrt(self.squares[part][at])
+    def _step(self, part: int, gradient: np.ndarray) -> None:
+        self.squares[part] += gradient * gradient
+        self.m.parts()[part][...] -= self.p.rate * gradient / np.sqrt(self.squares[part])
 
     @staticmethod
-    def _sum_by(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(ids, kind="stable")
+    def _sum_by(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        return ids[first], np.add.reduceat(rows[order], first, axis=0)
+        out = np.zeros((n, rows.shape[1]), np.float32)
+        out[ids[first]] = np.add.reduceat(rows[order], first, axis=0)
+        return out
 
     def train(self, near: np.ndarray, far: np.ndarray, target: np.ndarray) -> None:
-        m = self.m
-        noise = np.minimum(np.searchsorted(self.edges, self.rng.random(self.p.noise)), len(self.edges) - 1)
-        r1, r2, q = m.context[near], m.context[far], m.target[target]
-        guess = r1 @ m.near + r2 @ m.far
-        true = (guess * q).sum(axis=1) + m.bias[target] - self.log_noise[target]
-        false = guess @ m.target[noise].T + (m.bias[noise] - self.log_noise[noise])
+        """One step.  Products with context vectors, and their gradients, are made once for each class and not for each token."""
+        m, n, width = self.m, len(self.edges), self.p.width
+        noise = np.minimum(np.searchsorted(self.edges, self.rng.random(self.p.noise)), n - 1)
+        guess = np.ones((len(target), width + 1), np.float32)  # the last column is for biases
+        guess[:, :width] = (m.context @ m.near)[near] + (m.context @ m.far)[far]
+        target_table = np.hstack((m.target, m.bias[:, None] - self.log_noise[:, None]))
+        q, noise_table = target_table[target], target_table[noise]
         scale = np.float32(1 / len(target))
-        g_true = -scale / (1 + np.exp(np.clip(true, -30, 30)))
-        g_false = scale / (1 + np.exp(np.clip(-false, -30, 30)))
-        g_guess = g_true[:, None] * q + g_false @ m.target[noise]
-        ids, rows = self._sum_by(np.concatenate((target, noise)), np.concatenate((g_true[:, None] * guess, g_false.T @ guess)))
-        b_ids, b_rows = self._sum_by(np.concatenate((target, noise)), np.concatenate((g_true, g_false.sum(axis=0))))
-        c_ids, c_rows = self._sum_by(np.concatenate((near, far)), np.concatenate((g_guess @ m.near.T, g_guess @ m.far.T)))
-        g_near, g_far = r1.T @ g_guess, r2.T @ g_guess
-        self._step(1, ids, rows)
-        self._step(4, b_ids, b_rows)
-        self._step(0, c_ids, c_rows)
-        self._step(2, slice(None), g_near)
-        self._step(3, slice(None), g_far)
+        with np.errstate(over="ignore"):  # an infinite exponential ends as 0
+            g_true = np.einsum("ij,ij->i", guess, q)
+            g_true = -scale / (1 + np.exp(g_true))
+            g_false = guess @ -noise_table.T
+            np.exp(g_false, out=g_false)
+        g_false += 1
+        np.divide(scale, g_false, out=g_false)
+        g_guess = g_true[:, None] * q[:, :width]
+        g_guess += g_false @ noise_table[:, :width]
+        g_target = self._sum_by(target, g_true[:, None] * guess, n)
+        np.add.at(g_target, noise, g_false.T @ guess)
+        by_near, by_far = self._sum_by(near, g_guess, n + 1), self._sum_by(far, g_guess, n + 1)
+        g_context = by_near @ m.near.T + by_far @ m.far.T
+        g_near, g_far = m.context.T @ by_near, m.context.T @ by_far
+        for part, gradient in enumerate((g_context, g_target[:, :width], g_near, g_far, g_target[:, width])):
+            self._step(part, gradient)
         self.seen += len(target)
 
 
@@ -278,29 +306,27 @@ def _train_round(encoded: DataFrame, model: LogBilinear, vocabulary: Vocabulary,
         start_model, class_tokens, start = sent.value
         own = LogBilinear(*(x.copy() for x in start_model.parts()))
         trainer = NceTrainer(own, class_tokens, p, p.seed)
-        for batch in batches:
-            texts = [np.frombuffer(x, np.int16).astype(np.int64) for x in batch.column(0).to_pylist()]
-            size = np.cumsum([len(x) for x in texts])
-            for lo in range(0, int(size[-1]) if len(size) else 0, 2_000_000):  # texts by about two million tokens
-                some = texts[np.searchsorted(size, lo, "right") : np.searchsorted(size, lo + 2_000_000, "right")]
-                if not some:
-                    continue
-                near, far, target = contexts(some, start)
-                order = trainer.rng.permutation(len(target))
-                for i in range(0, len(order), p.batch):
-                    at = order[i : i + p.batch]
-                    trainer.train(near[at], far[at], target[at])
+        for batch in text_slices(batches, 0, 4_000_000):  # about two million tokens
+            target, sizes = from_binaries(batch.column(0), "<i2")
+            near, far = contexts(target, sizes, start)
+            order = trainer.rng.permutation(len(target))
+            for i in range(0, len(order), p.batch):
+                at = order[i : i + p.batch]
+                trainer.train(near[at], far[at], target[at])
         if trainer.seen:
             yield pa.RecordBatch.from_pydict({"model": [own.to_bytes()], "weight": [float(trainer.seen)]})
 
     def mean(rows):  # noqa: ANN001, ANN202
         weight = rows["weight"].sum()
         flat = sum(np.frombuffer(m, np.float32).astype(np.float64) * w for m, w in zip(rows["model"], rows["weight"], strict=True)) / weight
-        return rows.head(1).assign(model=[flat.astype(np.float32).tobytes()], weight=[weight])[["model", "weight"]]
+        return rows.head(1).assign(model=[flat.astype(np.float32).tobytes()], weight=[weight])[["group", "model", "weight"]]
 
     schema = "model binary, weight double"
-    trained = encoded.select("classes").mapInArrow(run, schema).withColumn("group", F.spark_partition_id() % 24)
-    rows = trained.groupBy("group").applyInPandas(mean, schema).collect()
+    trained = encoded.select("classes").mapInArrow(run, schema).withColumn("group", F.spark_partition_id())
+    for _ in range(2):  # groups of bounded size, in levels
+        grouped = trained.withColumn("group", F.floor(F.col("group") / p.fan_in)).groupBy("group")
+        trained = grouped.applyInPandas(mean, "group long, " + schema)
+    rows = trained.collect()
     if not rows:
         return model
     weights = [r["weight"] for r in rows]
@@ -337,12 +363,10 @@ def _class_scores(encoded: DataFrame, model: LogBilinear, start: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, norms = sent.value
         near_t, far_t = m.tables()
-        for batch in batches:
-            scores = []
-            for raw in batch.column("classes").to_pylist():
-                near, far, target = contexts([np.frombuffer(raw, np.int16).astype(np.int64)], start)
-                log_p = near_t[near, target] + far_t[far, target] + m.bias[target] - norms[near, far]
-                scores.append(float(log_p.astype(np.float64).sum()) / math.log(10))
+        for batch in text_slices(batches, "classes", 4_000_000):
+            target, sizes = from_binaries(batch.column("classes"), "<i2")
+            near, far = contexts(target, sizes, start)
+            scores = sums_by(near_t[near, target] + far_t[far, target] + m.bias[target] - norms[near, far], sizes) / math.log(10)
             kept = [batch.column(c) for c in ("rid", "doc_id", "held_out", "n_tokens", "known", "base", "inside")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], names=["rid", "doc_id", "held_out", "n_tokens", "known", "base", "inside", "class_score"])
 
@@ -356,10 +380,10 @@ def score_documents(docs: DataFrame, p: LmParams | None = None) -> DataFrame:
     `base_score` is of a smoothed unigram model, `score` of the log-bilinear model; both learn from rows outside the held fold.
     """
     p = p or LmParams()
-    rows = with_row_id(docs.select("doc_id", "text"), "rid").withColumn("held_out", fold("doc_id", p.folds) == p.held_fold)
-    counts = staged(count_tokens(rows.where(~F.col("held_out")).select("text")))
+    chunks = staged(split_texts(docs.select("doc_id", (fold("doc_id", p.folds) == p.held_fold).alias("held_out"), "text"), p))
+    counts = staged(count_tokens(chunks))
     vocabulary, least = build_vocabulary(counts, p)
-    encoded = staged(encode(rows, vocabulary))
+    encoded = staged(encode(chunks, vocabulary, dict(docs.dtypes)["doc_id"]))
     model = train_model(encoded.where(~F.col("held_out")), vocabulary, p)
     below = counts.where(F.floor(F.log2("n") * 16) < least) if least < math.inf else counts
     rare = encoded.select("rid", F.explode("rare").alias("r")).select("rid", "r.token", "r.tf").join(below, "token", "left")
