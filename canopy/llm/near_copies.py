@@ -1,13 +1,16 @@
-"""Near copies by an exact similarity join: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
-
-SimHash fingerprints of such pairs differ in up to 11 of 64 bits and more, so no distance that an index can search holds them all.
-Candidates come from a prefix filter, which misses none: with all shingles in one fixed order, two sets that are similar enough share
-one among the first `n - ceil(0.8 n) + 1` of each, at places that leave room for the common shingles they need.  The order puts
-shingles that are frequent in a sample last; it decides the cost and not the result.  Candidates are verified on their whole texts.
-
-Texts with the same set of shingles, among them exact copies and all texts without words, are joined first.  Candidates are made in
-two rounds: neighbours within a shingle's rows first, then all pairs that these have not put into one component, so that a large
+"""SimHash near-duplicate removal with verified links: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+Texts with the same set of shingles, among them exact copies and all texts without words, are joined first.  Then SimHash fingerprints
+of the sets are linked by the Gray-order index at two bits or fewer, and links whose whole texts are similar enough join components.
+Similar pairs differ in up to 11 bits and more, which no index reaches that prunes, so an exact search follows for the links that
+fingerprints miss, between texts that are not in one component yet: a prefix filter.  With all shingles in one fixed order, two sets
+that are similar enough share one among the first `n - ceil(0.8 n) + 1` of each, at places that leave room for the common shingles they
+need.  The order puts shingles that are frequent in a sample last; it decides the cost and not the result.  These candidates are
+verified too, in two rounds: neighbours within a shingle's rows, then all pairs that are still apart, so that a large
 cluster of near copies costs few pairs.  Texts of fewer than five words are one shingle.
+
+Rows get their ids once, in the table that holds their features, and are told apart by these, so repeated rows and ids are one
+component each with what equals them.  The row of smallest doc_id stays (a null id counts as the largest), of equals the first written.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from canopy.llm.common import small_or_plain, staged, text_slices, with_row_id, words
+from canopy.llm.common import small_or_plain, staged, text_slices, tokenise, with_row_id
 from canopy.llm.components import connected_components
+from canopy.llm.simhash_dedup import SimHashParams, link_fingerprints
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,28 +43,27 @@ class NearCopyParams:
     frequent: int = 200_000
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 20_000:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-        return found
-
-
-_HASHES = _WordHashes()
+def shingle_hashes(column: pa.Array, k: int) -> list[np.ndarray]:
+    """For each text, the distinct hashes of its word shingles, sorted."""
+    found = tokenise(column)
+    words = np.array([xxhash.xxh64_intdigest(w) for w in found.words.cast(pa.binary()).to_pylist()], np.uint64)
+    tokens, out, first = words[found.ids], [], 0
+    for n in found.sizes.tolist():
+        own, first = tokens[first : first + n], first + n
+        own_k = min(k, n)
+        made = np.zeros(n - own_k + 1 if n else 0, np.uint64)
+        for j in range(own_k):
+            made = (made ^ (made >> np.uint64(29))) * _FACTOR + own[j : j + len(made)]
+        out.append(np.unique(made))
+    return out
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, sorted."""
-    tokens = words(text)
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
-    k = min(k, len(tokens))
-    made = np.zeros(len(tokens) - k + 1, np.uint64)
-    for j in range(k):
-        made = (made ^ (made >> np.uint64(29))) * _FACTOR + hashes[j : j + len(made)]
-    return np.unique(made)
+def simhash(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some hashes."""
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 32_768):
+        counts += np.unpackbits(hashes[lo : lo + 32_768].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -72,34 +76,41 @@ def _frequent(docs: DataFrame, p: NearCopyParams) -> tuple[np.ndarray, np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 0):
-            yield pa.RecordBatch.from_pydict({"hash": np.concatenate([shingle_set(t.as_py(), p.shingle) for t in batch.column(0)]).view(np.int64)})
+            yield pa.RecordBatch.from_pydict({"hash": np.concatenate(shingle_hashes(batch.column(0), p.shingle)).view(np.int64)})
 
-    sampled = docs.where(F.pmod(F.xxhash64("row"), F.lit(p.sample)) == 0).select("text").mapInArrow(run, "hash long")
+    sampled = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(p.sample)) == 0).select("text").mapInArrow(run, "hash long")
     found = sampled.groupBy("hash").count().where("count > 2").orderBy(F.desc("count"), "hash").limit(p.frequent).toArrow()
     hashes, counts = found.column("hash").to_numpy().view(np.uint64), found.column("count").to_numpy()
     at = np.argsort(hashes)
     return hashes[at], counts[at]
 
 
-def _prefixes(p: NearCopyParams, sent):  # noqa: ANN001, ANN202
+_FEATURES = ("__canopy_set", "__canopy_n", "__canopy_fp", "__canopy_prefix")
+
+
+def _featured(docs: DataFrame, p: NearCopyParams) -> DataFrame:
+    """The rows with an id each, the key and size of their set of shingles, its fingerprint and its prefix."""
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, p))
+    rows = with_row_id(docs, "__canopy_row")
+    at = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sent.value
-        for batch in text_slices(batches, 2):
-            keys, sizes, firsts = [], [], []
-            for text in batch.column(2):
-                own = shingle_set(text.as_py(), p.shingle)
-                keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-                sizes.append(len(own))
+        for batch in text_slices(batches, at):
+            sets = shingle_hashes(batch.column(at), p.shingle)
+            firsts = []
+            for own in sets:
                 weight = np.zeros(len(own), np.int64)
                 if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    weight = np.where(known[at] == own, counts[at], 0)
+                    place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    weight = np.where(known[place] == own, counts[place], 0)
                 first = len(own) - math.ceil(p.similarity * len(own) - 1e-9) + 1 if len(own) else 0
-                firsts.append(own[np.lexsort((own, weight))[:first]].view(np.int64))
-            lists = pa.array([x.tobytes() for x in firsts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["row", "doc_id", "set", "n", "prefix"])
+                firsts.append(own[np.lexsort((own, weight))[:first]].tobytes())
+            made = [pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([simhash(x) for x in sets], pa.int64()), pa.array(firsts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *_FEATURES])
 
-    return run
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL("__canopy_set binary, __canopy_n long, __canopy_fp long, __canopy_prefix binary").fields])
+    return staged(rows.mapInArrow(run, schema))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,29 +178,43 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: NearCopyParams) -> DataFrame
     both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similar(shingle_set(x.as_py(), p.shingle), shingle_set(y.as_py(), p.shingle), p.similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for batch in text_slices(batches, 2):
+            sets = zip(*(shingle_hashes(batch.column(c), p.shingle) for c in (2, 3)), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([similar(x, y, p.similarity) for x, y in sets], pa.bool_()))
 
     return staged(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
-def near_copies(docs: DataFrame, p: NearCopyParams) -> DataFrame:
-    """row, kept for rows of (row, doc_id, text) that go: kept is the row of smallest doc_id in the component."""
-    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, p))
-    made = staged(docs.select("row", "doc_id", "text").mapInArrow(_prefixes(p, sent), f"row long, doc_id {dict(docs.dtypes)['doc_id']}, set binary, n long, prefix binary"))
+def _fingerprint_pairs(reps: DataFrame) -> DataFrame:
+    """Pairs of rows of (row, fp) whose components are those of all links of two bits or fewer."""
+    first = staged(reps.groupBy("fp").agg(F.min("row").alias("first")))
+    same = reps.join(first, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    edges = link_fingerprints(first.select("fp"), SimHashParams())
+    for c in ("a", "b"):
+        edges = edges.join(first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_row")), c).drop(c)
+    return same.unionByName(edges.select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b")))
+
+
+def _copies(made: DataFrame, p: NearCopyParams) -> DataFrame:
+    """row, kept for featured rows that go: kept is the row of smallest doc_id in the component."""
+    made = made.select(F.col("__canopy_row").alias("row"), "doc_id", "text", *(F.col(c).alias(c.removeprefix("__canopy_")) for c in _FEATURES))
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("row"))
     sets = made.groupBy("set").agg(F.min(first).alias("first"))
     rows = staged(made.select("row", "doc_id", "set").join(sets, "set").select("row", "doc_id", F.col("first.row").alias("stands")))
-    again = rows.where("row <> stands").select("row")
-    tokens = made.join(small_or_plain(again, 200_000), "row", "left_anti").select("row", "n", "prefix").mapInArrow(_tokens, "token long, n long, row long, place int")
+    again = small_or_plain(rows.where("row <> stands").select("row"), 200_000)
+    docs, reps = made.select("row", "text"), made.join(again, "row", "left_anti")
+    printed = _verified(_fingerprint_pairs(reps.select("row", "fp")), docs, p)
+    tokens = reps.select("row", "n", "prefix").mapInArrow(_tokens, "token long, n long, row long, place int")
     met = staged(tokens.repartition("token").sortWithinPartitions("token", "n", "row").mapInArrow(_met, "token long, n long, row long, place int"))
-    types, nodes = "a long, b long", met.withColumn("root", F.col("row"))
-    near = _verified(nodes.repartition("token").sortWithinPartitions("token", "n", "row").mapInArrow(_pairs(p, 1), types), docs, p)
-    roots = connected_components(near).select(F.col("node").alias("row"), F.col("root").alias("found"))
-    nodes = met.join(small_or_plain(roots, 200_000), "row", "left").select("token", "n", "row", "place", F.coalesce("found", "row").alias("root"))
-    far = _verified(nodes.repartition("token").sortWithinPartitions("token", "n", "row").mapInArrow(_pairs(p, None), types), docs, p)
-    roots = connected_components(near.unionByName(far)).select(F.col("node").alias("stands"), "root")
+
+    def rest(known: DataFrame, farthest: int | None) -> DataFrame:
+        """Verified pairs by the prefix filter, besides those within one component of known pairs."""
+        roots = connected_components(known).select(F.col("node").alias("row"), F.col("root").alias("found"))
+        nodes = met.join(small_or_plain(roots, 200_000), "row", "left").select("token", "n", "row", "place", F.coalesce("found", "row").alias("root"))
+        pairs = nodes.repartition("token").sortWithinPartitions("token", "n", "row").mapInArrow(_pairs(p, farthest), "a long, b long")
+        return known.unionByName(_verified(pairs, docs, p))
+
+    roots = connected_components(rest(rest(printed, 1), None)).select(F.col("node").alias("stands"), "root")
     rows = rows.join(small_or_plain(roots, 200_000), "stands", "left").select("row", "doc_id", F.coalesce("root", "stands").alias("root"))
     best = rows.groupBy("root").agg(F.min(first).alias("first"))
     return rows.join(best, "root").where(F.col("row") != F.col("first.row")).select("row", F.col("first.row").alias("kept"))
@@ -198,6 +223,6 @@ def near_copies(docs: DataFrame, p: NearCopyParams) -> DataFrame:
 def drop_near_copies(docs: DataFrame, p: NearCopyParams | None = None) -> DataFrame:
     """One row of each component of near copies, the one of smallest doc_id; all columns stay."""
     p = p or NearCopyParams()
-    dropped = staged(near_copies(with_row_id(docs.select("doc_id", "text"), "row"), p).select(F.col("row").alias("__canopy_dropped")))
-    rows = with_row_id(docs, "__canopy_row")
-    return rows.join(small_or_plain(dropped, 200_000), F.col("__canopy_row") == F.col("__canopy_dropped"), "left_anti").drop("__canopy_row")
+    made = _featured(docs, p)
+    dropped = staged(_copies(made, p).select(F.col("row").alias("__canopy_dropped")))
+    return made.join(small_or_plain(dropped, 200_000), F.col("__canopy_row") == F.col("__canopy_dropped"), "left_anti").select(*docs.columns)

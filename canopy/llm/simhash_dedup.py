@@ -210,8 +210,8 @@ def simhash_components(docs: DataFrame, p: SimHashParams | None = None) -> DataF
 def drop_near_duplicates(docs: DataFrame, p: SimHashParams | None = None) -> DataFrame:
     """One row of each component, the one of smallest doc_id; all columns stay."""
     p = p or SimHashParams()
-    prints = staged(fingerprints(with_row_id(docs.select("doc_id", "text"), "row"), ["row", "doc_id"], p))
+    rows = staged(with_row_id(docs, "__canopy_row"))
+    prints = staged(fingerprints(rows.select(F.col("__canopy_row").alias("row"), "doc_id", "text"), ["row", "doc_id"], p))
     found = components(prints, p)
     dropped = staged(prints.join(found, "fp").where(F.col("row") != F.col("kept")).select(F.col("row").alias("__canopy_dropped")))
-    rows = with_row_id(docs, "__canopy_row")
     return rows.join(small_or_plain(dropped, 200_000), F.col("__canopy_row") == F.col("__canopy_dropped"), "left_anti").drop("__canopy_row")
