@@ -34,6 +34,10 @@ class LangParams:
     seed: int = 11
     #: Sharpness of the softmax over cosines that gives the score.
     sharpness: float = 12.0
+    #: Texts of so many distinct n-grams or more are rejected if no prototype's cosine passes the floor.  Random letters stay below 0.11,
+    #: and the given documents of that length have 0.16 or more; shorter texts can't be told from either.
+    told_from: int = 32
+    floor: float = 0.12
 
     @property
     def symbols(self) -> int:
@@ -77,7 +81,10 @@ def trigrams(text: str | None, p: LangParams) -> tuple[np.ndarray, np.ndarray]:
 
 def text_vector(text: str | None, p: LangParams) -> np.ndarray | None:
     """The text's bundle, at length 1; None if it has no letter."""
-    codes, counts = trigrams(text, p)
+    return bundle(*trigrams(text, p), p)
+
+
+def bundle(codes: np.ndarray, counts: np.ndarray, p: LangParams) -> np.ndarray | None:
     if not len(codes):
         return None
     first, second, third = letter_vectors(p)
@@ -118,30 +125,37 @@ def learn_prototypes(rows: DataFrame, p: LangParams) -> tuple[list[str], np.ndar
 
 
 def classify(docs: DataFrame, langs: list[str], prototypes: np.ndarray, p: LangParams, carried: list[str]) -> DataFrame:
-    """The carried columns, lang_pred and score of each row of docs; docs has a column text."""
+    """The carried columns, lang_pred, score and fits of each row of docs; docs has a column text.
+
+    fits tells whether the text is in a learned language: false without a letter, or below the floor.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((langs, prototypes))
-    names = [*carried, "lang_pred", "score"]
+    names = [*carried, "lang_pred", "score", "fits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prototypes = sent.value
         for batch in batches:
             found: list[str] = []
             scores: list[float] = []
+            fits: list[bool] = []
             for text in batch.column(batch.num_columns - 1):
-                v = text_vector(text.as_py(), p) if langs else None
+                codes, counts = trigrams(text.as_py(), p)
+                v = bundle(codes, counts, p) if langs else None
                 if v is None:
                     found.append(UNDETERMINED)
                     scores.append(0.0)
+                    fits.append(False)
                     continue
                 cosines = prototypes @ v
                 best = int(cosines.argmax())
                 odds = np.exp(p.sharpness * (cosines - cosines[best]))
                 found.append(langs[best])
                 scores.append(float(1 / odds.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=names)
+                fits.append(len(codes) < p.told_from or bool(cosines[best] >= p.floor))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())], names=names)
 
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), "lang_pred string", "score double", "fits boolean"])
     return docs.select(*carried, F.col("text").alias("_scored_text")).mapInArrow(run, schema)
 
 
@@ -154,16 +168,16 @@ def identify_language(docs: DataFrame, p: LangParams | None = None, carried: lis
     held = fold("doc_id", p.folds) == p.held_fold
     langs, prototypes = learn_prototypes(docs.where(~held & F.col("lang").isNotNull()), p)
     if carried is not None:
-        return classify(docs, langs, prototypes, p, carried)
-    return classify(docs.select("doc_id", held.alias("held_out"), "text"), langs, prototypes, p, ["doc_id", "held_out"])
+        return classify(docs, langs, prototypes, p, carried).drop("fits")
+    return classify(docs.select("doc_id", held.alias("held_out"), "text"), langs, prototypes, p, ["doc_id", "held_out"]).drop("fits")
 
 
 def keep_identified(docs: DataFrame, p: LangParams | None = None) -> DataFrame:
-    """The rows in whose text a language is found; all columns stay."""
+    """The rows whose text is in a learned language: one with a letter and, if it is long enough to tell, a prototype that is near.  All columns stay."""
     p = p or LangParams()
     names = docs.columns
     inner = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)), F.col("text"))
     held = fold("doc_id", p.folds) == p.held_fold
     langs, prototypes = learn_prototypes(docs.where(~held & F.col("lang").isNotNull()), p)
     found = classify(inner, langs, prototypes, p, [f"_c{i}" for i in range(len(names))])
-    return found.where(F.col("lang_pred") != UNDETERMINED).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
+    return found.where("fits").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
