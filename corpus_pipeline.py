@@ -1,4 +1,7 @@
-"""A corpus pipeline: each stage takes the documents that its predecessor kept and decides with one training-data operator."""
+"""A corpus pipeline: each stage takes the documents that its predecessor kept and decides with one training-data operator.
+
+Stages take nulls in any column, empty and very long texts, repeated rows and ids, empty tables and extra columns, which stay.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +12,33 @@ from canopy.llm.common import staged, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: those with no letter, and all if no language can be learned."""
+    """Drops documents in no learned language: null texts, texts without a letter, long ones that no prototype is near; all, if nothing can be learned.
+
+    Equal texts share their fate; a null lang isn't learned from.
+    """
     return lang_id.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near copies (five-word Jaccard of at least 0.8), the one of smallest id."""
+    """Keeps one document of each component of near copies (five-word Jaccard of at least 0.8), the one of smallest id.
+
+    A null id counts as the largest; of repeated rows one stays.  All texts without words are copies of each other.
+    """
     return near_copies.drop_near_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item; null and empty texts, and such items, hold and match nothing."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts by a mark and sets n_chars anew."""
+    """Replaces secrets in texts by a mark and sets n_chars anew; null texts stay null, no row goes."""
     return secret_scan.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents by source, language and topic."""
+    """Samples documents by source, language and topic; a null is a value of its own, repeated ids share their fate."""
     return mixing.sample_documents(docs)
 
 
