@@ -97,6 +97,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str | int, most_bytes
             stop = max(start + 1, int(np.searchsorted(ends, done + most_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers live on
 
 
 def fold(key: str, modulus: int) -> Column:

@@ -5,9 +5,10 @@ of the sets are linked by the Gray-order index at two bits or fewer, and links w
 Similar pairs differ in up to 11 bits and more, which no index reaches that prunes, so an exact search follows for the links that
 fingerprints miss, between texts that are not in one component yet: a prefix filter.  With all shingles in one fixed order, two sets
 that are similar enough share one among the first `n - ceil(0.8 n) + 1` of each, at places that leave room for the common shingles they
-need.  The order puts shingles that are frequent in a sample last; it decides the cost and not the result.  These candidates are
-verified too, in two rounds: neighbours within a shingle's rows, then all pairs that are still apart, so that a large
-cluster of near copies costs few pairs.  Texts of fewer than five words are one shingle.
+The order puts shingles that are frequent in a sample last; it decides the cost and not the result.  A pair whose prefixes share
+`c` shingles has `c` and the rest of one set in common at most, which rules out nearly all that only share a passage; what is left is verified.
+Before that, texts with the same smallest hash (of three) are held against the one among them that has most shingles of the frequent,
+which edited copies are most like, so that a large cluster of near copies is mostly one component by then and costs few pairs.  Texts of fewer than five words are one shingle.
 
 Rows get their ids once, in the table that holds their features, and are told apart by these, so repeated rows and ids are one
 component each with what equals them.  The row of smallest doc_id stays (a null id counts as the largest), of equals the first written.
@@ -22,11 +23,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from canopy.llm.common import small_or_plain, staged, text_slices, tokenise, with_row_id
+from canopy.llm.common import from_binaries, small_or_plain, staged, text_slices, tokenise, with_row_id
 from canopy.llm.components import connected_components
 from canopy.llm.simhash_dedup import SimHashParams, link_fingerprints
 
@@ -41,6 +42,9 @@ class NearCopyParams:
     sample: int = 16
     #: Shingles of the sample that are put last, at most.
     frequent: int = 200_000
+    #: Parts into which the texts of a smallest hash are dealt.
+    salts: int = 16
+    star_rounds: int = 1
 
 
 def shingle_hashes(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -66,6 +70,13 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def smallest(hashes: np.ndarray) -> np.ndarray:
+    """The smallest of some hashes in each of three orders."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    return np.array([((hashes ^ np.uint64(k)) * _FACTOR).min() for k in (0x5BD1E995, 0x1B873593 << 20, 0x27D4EB2F << 32)], np.uint64).view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common >= least * (len(a) + len(b) - common) - 1e-9
@@ -85,7 +96,7 @@ def _frequent(docs: DataFrame, p: NearCopyParams) -> tuple[np.ndarray, np.ndarra
     return hashes[at], counts[at]
 
 
-_FEATURES = ("__canopy_set", "__canopy_n", "__canopy_fp", "__canopy_prefix")
+_FEATURES = ("__canopy_set", "__canopy_n", "__canopy_fp", "__canopy_smallest", "__canopy_common", "__canopy_prefix")
 
 
 def _featured(docs: DataFrame, p: NearCopyParams) -> DataFrame:
@@ -98,28 +109,28 @@ def _featured(docs: DataFrame, p: NearCopyParams) -> DataFrame:
         known, counts = sent.value
         for batch in text_slices(batches, at):
             sets = shingle_hashes(batch.column(at), p.shingle)
-            firsts = []
+            firsts, common = [], []
             for own in sets:
                 weight = np.zeros(len(own), np.int64)
                 if len(known):
                     place = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     weight = np.where(known[place] == own, counts[place], 0)
+                common.append(float(np.count_nonzero(weight)) / max(1, len(own)))
                 first = len(own) - math.ceil(p.similarity * len(own) - 1e-9) + 1 if len(own) else 0
                 firsts.append(own[np.lexsort((own, weight))[:first]].tobytes())
-            made = [pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([simhash(x) for x in sets], pa.int64()), pa.array(firsts, pa.binary())]
+            made = [pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([simhash(x) for x in sets], pa.int64()), pa.array([smallest(x) for x in sets], pa.list_(pa.int64())), pa.array(common), pa.array(firsts, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *_FEATURES])
 
-    schema = StructType([*rows.schema.fields, *StructType.fromDDL("__canopy_set binary, __canopy_n long, __canopy_fp long, __canopy_prefix binary").fields])
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL("__canopy_set binary, __canopy_n long, __canopy_fp long, __canopy_smallest array<bigint>, __canopy_common double, __canopy_prefix binary").fields])
     return staged(rows.mapInArrow(run, schema))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shingle of the prefixes of (row, n, prefix)."""
     for batch in text_slices(batches, 2, 500_000):
-        firsts = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
-        sizes = [len(x) for x in firsts]
-        place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-        yield pa.RecordBatch.from_pydict({"token": np.concatenate(firsts), "n": np.repeat(np.asarray(batch.column(1)), sizes), "row": np.repeat(np.asarray(batch.column(0)), sizes), "place": place})
+        flat, sizes = from_binaries(batch.column(2), "<i8")
+        place = np.arange(len(flat), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        yield pa.RecordBatch.from_pydict({"token": flat, "n": np.repeat(np.asarray(batch.column(1)), sizes), "row": np.repeat(np.asarray(batch.column(0)), sizes), "place": place})
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -148,28 +159,71 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["token", "n", "row", "place"])
 
 
-def _pairs(p: NearCopyParams, farthest: int | None):  # noqa: ANN202
-    """Pairs of rows of (token, n, row, place, root) with one token and different roots that could be similar; near ones in the order or all."""
+def least_common(n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
+    """The fewest common shingles of sets of these sizes that are similar enough."""
+    return np.ceil(similarity / (1 + similarity) * (n_a + n_b) - 1e-9)
+
+
+def _pairs(p: NearCopyParams):  # noqa: ANN202
+    """Pairs (a, b) of rows of (token, n, row, place, root) with different roots whose first common shingle this could be, if they are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, n, row, place, root in _groups(batches):
             a, d = np.arange(len(token) - 1), 1
-            while len(a) and (farthest is None or d <= farthest):
+            while len(a):
                 a = a[a + d < len(token)]
                 b = a + d
                 # Sizes grow within a token: once they are too far apart they stay so.
                 on = (token[a] == token[b]) & (n[a] >= p.similarity * n[b] - 1e-9)
                 a, b = a[on], b[on]
-                room = 1 + np.minimum(n[a] - 1 - place[a], n[b] - 1 - place[b])
-                good = (root[a] != root[b]) & (room * (1 + p.similarity) >= p.similarity * (n[a] + n[b]) - 1e-9)
-                if good.any():
-                    both = np.unique(np.stack((np.minimum(row[a], row[b])[good], np.maximum(row[a], row[b])[good])), axis=1)
-                    yield pa.RecordBatch.from_pydict({"a": both[0], "b": both[1]})
+                needed = least_common(n[a], n[b], p.similarity)
+                could = (root[a] != root[b]) & (place[a] <= n[a] - needed) & (place[b] <= n[b] - needed)
+                i, j = row[a[could]], row[b[could]]
+                if len(i):
+                    yield pa.RecordBatch.from_pydict({"a": np.minimum(i, j), "b": np.maximum(i, j)})
                 d += 1
 
     return run
 
 
+def _could(pairs: DataFrame, reps: DataFrame, p: NearCopyParams) -> DataFrame:
+    """The pairs (a, b) whose common shingles, those of their prefixes and one set's rest at most, can be enough."""
+    pairs = staged(pairs.distinct())
+    for c in ("a", "b"):
+        pairs = pairs.join(reps.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"prefix_{c}")), c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 4):
+            sizes = [np.asarray(batch.column(c)) for c in (2, 3)]
+            both = zip(*([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(c)] for c in (4, 5)), strict=True)
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in both], np.int64)
+            rest = np.maximum(*(np.ceil(p.similarity * n - 1e-9) - 1 for n in sizes))
+            yield batch.select(["a", "b"]).filter(pa.array(common + rest >= least_common(*sizes, p.similarity)))
+
+    return pairs.select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b").mapInArrow(run, "a long, b long")
+
+
+def _starred(reps: DataFrame, p: NearCopyParams, seed: int) -> DataFrame:
+    """Pairs among rows of (row, n, common, smallest) with the same smallest hash: each with the most common of its part, and these with the most common of all."""
+    rows = reps.select("row", "n", "common", F.explode("smallest").alias("token")).withColumn("part", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(p.salts)))
+    out = []
+    for keys in (("token", "part"), ("token",)):
+        first = Window.partitionBy(*keys).orderBy(F.desc("common"), "row")
+        rows = staged(rows.withColumns({"hub": F.first("row").over(first), "n_hub": F.first("n").over(first)}))
+        near = rows.where((F.col("row") != F.col("hub")) & (F.least("n", "n_hub") >= F.lit(p.similarity) * F.greatest("n", "n_hub") - 1e-9))
+        out.append(near.select(F.least("hub", "row").alias("a"), F.greatest("hub", "row").alias("b")))
+        rows = rows.where("row = hub").select("row", "n", "common", "token", "part")
+    return out[0].unionByName(out[1])
+
+
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs that known pairs have not put into one component."""
+    roots = connected_components(known)
+    for c in ("a", "b"):
+        pairs = pairs.join(small_or_plain(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), 200_000), c, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, p: NearCopyParams) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar."""
     pairs = staged(pairs.distinct())
@@ -204,17 +258,15 @@ def _copies(made: DataFrame, p: NearCopyParams) -> DataFrame:
     again = small_or_plain(rows.where("row <> stands").select("row"), 200_000)
     docs, reps = made.select("row", "text"), made.join(again, "row", "left_anti")
     printed = _verified(_fingerprint_pairs(reps.select("row", "fp")), docs, p)
+    known = printed
+    for seed in range(p.star_rounds):
+        known = known.unionByName(_verified(_apart(_starred(reps, p, seed), known), docs, p))
+    roots = connected_components(known).select(F.col("node").alias("row"), F.col("root").alias("found"))
     tokens = reps.select("row", "n", "prefix").mapInArrow(_tokens, "token long, n long, row long, place int")
     met = staged(tokens.repartition("token").sortWithinPartitions("token", "n", "row").mapInArrow(_met, "token long, n long, row long, place int"))
-
-    def rest(known: DataFrame, farthest: int | None) -> DataFrame:
-        """Verified pairs by the prefix filter, besides those within one component of known pairs."""
-        roots = connected_components(known).select(F.col("node").alias("row"), F.col("root").alias("found"))
-        nodes = met.join(small_or_plain(roots, 200_000), "row", "left").select("token", "n", "row", "place", F.coalesce("found", "row").alias("root"))
-        pairs = nodes.repartition("token").sortWithinPartitions("token", "n", "row").mapInArrow(_pairs(p, farthest), "a long, b long")
-        return known.unionByName(_verified(pairs, docs, p))
-
-    roots = connected_components(rest(rest(printed, 1), None)).select(F.col("node").alias("stands"), "root")
+    nodes = met.join(small_or_plain(roots, 200_000), "row", "left").select("token", "n", "row", "place", F.coalesce("found", "row").alias("root"))
+    pairs = nodes.repartition("token").sortWithinPartitions("token", "n", "row").mapInArrow(_pairs(p), "a long, b long")
+    roots = connected_components(known.unionByName(_verified(_could(pairs, reps, p), docs, p))).select(F.col("node").alias("stands"), "root")
     rows = rows.join(small_or_plain(roots, 200_000), "stands", "left").select("row", "doc_id", F.coalesce("root", "stands").alias("root"))
     best = rows.groupBy("root").agg(F.min(first).alias("first"))
     return rows.join(best, "root").where(F.col("row") != F.col("first.row")).select("row", F.col("first.row").alias("kept"))
