@@ -1,10 +1,12 @@
-"""Nearest neighbours by largest inner product, as a join of blocks of vectors with int8 tiles and error bounds.
+"""Nearest neighbours by largest inner product, as a join of blocks of int8 vectors with error bounds.
 
-Vectors are packed into blocks.  Each block of queries meets each block of candidates in one tile.  Vectors are rounded to int8
-with a scale of their own; the products of a tile give every inner product up to a bound on the rounding error.  A pair survives if its
-upper bound reaches the k-th best lower bound of its query; survivors are computed again in double precision from the
-original vectors, and heaps of k merge a query's tiles.  Nothing is lost: the result is exact.
+Vectors are rounded to int8 with a scale of their own and packed into blocks; only codes, scales and sums of steps are shuffled.  A large
+block of queries meets stripes of candidate blocks, each in one task, where tiles of int8 products give every inner product up to a
+bound on the rounding error.  A pair survives if its upper bound reaches the k-th best lower bound of its query, first
+in its stripe and then over all; the survivors, few for each query, get their vectors by a join and are computed again in double
+precision.  Nothing is lost: the result is exact.  Candidates are shuffled once for each block of queries, of about `query_bytes`.
 
+Of equal vectors only the `neighbours + 1` smallest ids can be among a query's nearest, and only they are searched.
 A vector that is null, zero or empty, or that holds a null or a value that isn't finite, takes no part, nor does a row with a
 null id.  Only vectors of equal length meet.  Rows with a query's own id are no candidates of it; an id that repeats counts once,
 with its best product.  Ties go to the smaller id.
@@ -12,8 +14,6 @@ with its best product.  Ties go to the smaller id.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,17 +21,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.llm.common import staged
+from canopy.llm.common import small_or_plain, staged
 
 
 @dataclass(frozen=True)
 class AnnParams:
     neighbours: int = 20
     query_every: int = 20
-    query_block: int = 512
-    candidate_block: int = 4096
+    #: Bytes of codes in a block of queries, in a block of candidates, and in a stripe of these, about.
+    query_bytes: int = 4_000_000
+    candidate_bytes: int = 262_144
+    stripe_bytes: int = 16_000_000
+    #: Queries whose products with a block of candidates are held at once.
+    tile: int = 512
     #: Least number of tasks over which tiles are spread.
     tasks: int = 48
+    #: Parts into which equal vectors are dealt before the smallest ids of each are taken.
+    salts: int = 32
 
 
 def takes_part(vector: str) -> Column:
@@ -39,120 +45,115 @@ def takes_part(vector: str) -> Column:
     return F.col(vector).isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """block, dim, ids, vectors: rows of (vec_id, embedding) dealt evenly over blocks, as raw bytes."""
-    n = max(1, -(-rows.count() // size))
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors in steps of their own scale, the scales, and the sums of absolute steps."""
+    scale = np.maximum(np.abs(x).max(axis=1) / 127, 1e-300)
+    steps = np.rint(x / scale[:, None]).astype(np.int8)
+    return steps, scale, np.abs(steps.astype(np.int64)).sum(axis=1)
+
+
+def bounds(queries: tuple, vectors: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all inner products of some quantised vectors with others."""
+    (qs, q_scale, q_sum), (cs, c_scale, c_sum) = queries, vectors
+    dim = qs.shape[1]
+    kind = np.float32 if 127 * 127 * dim < 2**24 else np.float64  # holds sums of int8 products exactly
+    near = (qs.astype(kind) @ cs.astype(kind).T).astype(np.float64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        scale = q_scale[:, None] * c_scale
+        error = (0.5 * (q_sum[:, None] + c_sum) + dim / 4 + 1e-6) * scale + 1e-300
+        near *= scale
+        lower, upper = near - error, near + error
+    wide = ~(np.isfinite(lower) & np.isfinite(upper))
+    return np.where(wide, -np.inf, lower), np.where(wide, np.inf, upper)
+
+
+_BLOCK = "block int, dim int, ids binary, plain binary, codes binary, scales binary, sums binary"
+
+
+def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """Blocks of (vec_id, embedding, plain), dealt evenly, as raw bytes; plain rows may set a floor."""
+    n_rows, dim = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    n = max(1, -(-n_rows * (dim or 1) // block_bytes))
 
     def pack(table: pa.Table) -> pa.Table:
-        ids, dims = table.column("vec_id").to_numpy(), table.column("dim").to_numpy()
-        vectors = table.column("embedding").combine_chunks()
-        flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(dims)
+        ids, plain, dims = (table.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "plain", "dim"))
+        flat, ends = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.cumsum(dims)
         out = []
         for d in np.unique(dims):
             at = np.flatnonzero(dims == d)
-            out.append({"block": table.column("block")[0].as_py(), "dim": int(d), "ids": ids[at].tobytes(), "vectors": flat[(ends[at] - d)[:, None] + np.arange(d)].astype("<f8").tobytes()})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+            steps, scale, sums = quantised(flat[(ends[at] - d)[:, None] + np.arange(d)].astype(float))
+            out.append({"block": table.column("block")[0].as_py(), "dim": int(d), "ids": ids[at].tobytes(), "plain": plain[at].astype(np.uint8).tobytes(), "codes": steps.tobytes(), "scales": scale.tobytes(), "sums": sums.tobytes()})
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int32()), ("dim", pa.int32()), *((c, pa.binary()) for c in ("ids", "plain", "codes", "scales", "sums"))]))
 
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    dealt = rows.select(block.alias("block"), F.size("embedding").alias("dim"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return staged(dealt.groupBy("block").applyInArrow(pack, "block int, dim int, ids binary, vectors binary"))
+    block = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
+    return staged(rows.select(block.alias("block"), F.size("embedding").alias("dim"), "vec_id", "embedding", "plain").groupBy("block").applyInArrow(pack, _BLOCK))
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors in steps of their own scale (whole numbers up to 127), the scales, and the sums of absolute steps."""
-    scale = np.abs(x).max(axis=1) / 127
-    steps = np.rint(x / scale[:, None])
-    return steps, scale, np.abs(steps).sum(axis=1)
-
-
-def exact_products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Inner products of rows i of a with rows j of b, summed in the order of the components."""
-    out = np.zeros(len(i))
-    for lo in range(0, len(i), 500_000):
-        at = slice(lo, lo + 500_000)
-        total = np.zeros(len(i[at]))
-        for k in range(a.shape[1]):
-            total += a[i[at], k] * b[j[at], k]
-        out[at] = total
-    return out
-
-
-def tile(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query places, ids and products of each query's k best in a tile, less those that are below its floor."""
-    dim = queries.shape[1]
-    kind = np.float32 if 127 * 127 * dim < 2**24 else np.float64  # holds sums of int8 products exactly
-    qs, q_scale, q_sum = quantised(queries)
-    cs, c_scale, c_sum = quantised(vectors)
-    near = (qs.astype(kind) @ cs.astype(kind).T).astype(np.float64)
-    scale = q_scale[:, None] * c_scale
-    error = (0.5 * (q_sum[:, None] + c_sum) + dim / 4 + 1e-6) * scale
-    near *= scale
-    near[query_ids[:, None] == ids] = -np.inf
-    least = near - error
-    if least.shape[1] > k and len(np.unique(ids)) == len(ids):
-        floor = np.maximum(floor, np.partition(least, -k, axis=1)[:, -k])
-    i, j = np.nonzero((near + error >= floor[:, None]) & np.isfinite(near))
-    score = exact_products(queries, vectors, i, j)
-    order = np.lexsort((-score, ids[j], i))
-    i, j, score = i[order], ids[j][order], score[order]
-    first = np.ones(len(i), bool)
-    first[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-    i, j, score = i[first], j[first], score[first]
-    order = np.lexsort((j, -score, i))
-    i, j, score = i[order], j[order], score[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    return i[rank < k], j[rank < k], score[rank < k]
-
-
-class Heaps:
-    """The k best of each query of a block so far."""
-
-    def __init__(self, ids: np.ndarray, k: int) -> None:
-        self.ids, self.k = ids, k
-        self.best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        self.floor = np.full(len(ids), -np.inf)
-
-    def merge(self, i: np.ndarray, j: np.ndarray, score: np.ndarray) -> None:
-        starts = np.flatnonzero(np.diff(i, prepend=-1))  # none, if all of the tile is below the floors
-        for a, b in zip(starts, [*starts[1:], len(i)][: len(starts)], strict=True):
-            q, best = int(i[a]), {}
-            for s, v in (*self.best[q], *zip((-score[a:b]).tolist(), j[a:b].tolist(), strict=True)):
-                best[v] = min(s, best.get(v, np.inf))
-            self.best[q] = heapq.nsmallest(self.k, ((s, v) for v, s in best.items()))
-            if len(self.best[q]) == self.k:
-                self.floor[q] = -self.best[q][-1][0]
-
-    def rows(self) -> pa.RecordBatch:
-        flat = [(int(q), v, -s) for q, best in zip(self.ids, self.best, strict=True) for s, v in best]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+def _opened(table: pa.Table, n: int, dim: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Ids, plain marks and quantised vectors of a block."""
+    ids, plain, codes, scales, sums = (np.frombuffer(table.column(c)[n].as_buffer(), t) for c, t in (("ids", np.int64), ("plain", np.uint8), ("codes", np.int8), ("scales", float), ("sums", np.int64)))
+    return ids, plain.astype(bool), (codes.reshape(-1, dim), scales, sums)
+
+
+def _survivors(p: AnnParams):  # noqa: ANN202
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64())])
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        """Pairs of one block of queries and one stripe of candidates that can be among a query's k best there."""
+        if not (queries.num_rows and vectors.num_rows):
+            return schema.empty_table()
+        dim, k = queries.column("dim")[0].as_py(), p.neighbours
+        q_ids, _, q = _opened(queries, 0, dim)
+        blocks = [_opened(vectors, n, dim) for n in range(vectors.num_rows)]
+        out = []
+        for lo in range(0, len(q_ids), p.tile):
+            own = slice(lo, lo + p.tile)
+            best, found = np.full((len(q_ids[own]), k), -np.inf), []
+            for ids, plain, v in blocks:
+                lower, upper = bounds(tuple(x[own] for x in q), v)
+                self_ = q_ids[own][:, None] == ids
+                told = np.hstack([best, np.where(plain & ~self_, lower, -np.inf)])
+                best = np.partition(told, -k, axis=1)[:, -k:]
+                i, j = np.nonzero((upper >= best.min(axis=1)[:, None]) & ~self_)
+                found.append((i, ids[j], np.where(plain[j], lower[i, j], -np.inf), upper[i, j]))
+            i, j, lower, upper = (np.concatenate(x) for x in zip(*found, strict=True))
+            keep = upper >= best.min(axis=1)[i]
+            out.append(pa.table([pa.array(q_ids[own][i[keep]]), pa.array(j[keep]), pa.array(lower[keep]), pa.array(upper[keep])], schema=schema))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _searched(rows: DataFrame, p: AnnParams) -> DataFrame:
+    """The distinct (vec_id, embedding), less ids that can't be nearest as smaller ones have equal vectors; plain tells ids that don't repeat."""
+    kept = rows.distinct().withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(p.salts)))
+    for keys in (("embedding", "part"), ("embedding",)):
+        place = F.dense_rank().over(Window.partitionBy(*keys).orderBy("vec_id"))
+        kept = kept.withColumn("place", place).where(F.col("place") <= p.neighbours + 1).drop("place")
+    kept = staged(kept.drop("part"))
+    again = kept.groupBy("vec_id").count().where("count > 1").select("vec_id", F.lit(False).alias("plain"))
+    return kept.join(small_or_plain(again, 100_000), "vec_id", "left").select("vec_id", "embedding", F.coalesce("plain", F.lit(True)).alias("plain"))
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, p: AnnParams | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's nearest, from rows of (vec_id, embedding) on both sides."""
     p = p or AnnParams()
-    some, all_ = (_blocks(x.where(F.col("vec_id").isNotNull() & takes_part("embedding")), n) for x, n in ((queries, p.query_block), (vectors, p.candidate_block)))
-    n_queries, n_blocks = (x.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] + 1 for x in (some, all_))
-    stripes = max(1, min(n_blocks, -(-p.tasks // max(1, n_queries))))
-    left = some.select("dim", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    right = all_.select("dim", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_queries - 1)))).alias("q"), (F.col("block") % stripes).alias("stripe"), "ids", "vectors")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[tuple, Heaps] = {}
-        for batch in batches:
-            for n in range(batch.num_rows):
-                key = tuple(batch.column(c)[n].as_py() for c in range(3))
-                raw = [batch.column(c)[n].as_buffer() for c in range(3, 7)]
-                query_ids, ids = (np.frombuffer(raw[c], np.int64) for c in (0, 2))
-                a, b = (np.frombuffer(raw[c], "<f8").reshape(-1, key[0]) for c in (1, 3))
-                if key not in open_ and len(open_) >= 32:  # bounds what a task holds
-                    yield open_.pop(next(iter(open_))).rows()
-                heaps = open_.setdefault(key, Heaps(query_ids, p.neighbours))
-                heaps.merge(*tile(a, query_ids, b, ids, heaps.floor, p.neighbours))
-        for heaps in open_.values():
-            yield heaps.rows()
-
-    tiles = left.join(right, ["dim", "q", "stripe"]).select("dim", "q", "stripe", "query_ids", "queries", "ids", "vectors")
-    found = tiles.mapInArrow(run, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    asked, all_ = (x.where(F.col("vec_id").isNotNull() & takes_part("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")) for x in (queries, vectors))
+    asked, all_ = staged(asked.distinct()), staged(_searched(all_, p))
+    some, many = _blocks(asked.withColumn("plain", F.lit(True)), p.query_bytes), _blocks(all_, p.candidate_bytes)
+    n_queries, n_blocks = (x.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] + 1 for x in (some, many))
+    stripes = max(1, min(n_blocks, max(-(-p.tasks // max(1, n_queries)), n_blocks * p.candidate_bytes // p.stripe_bytes)))
+    left = some.withColumn("q", F.col("block")).withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+    right = many.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_queries - 1))))).withColumn("stripe", F.col("block") % stripes)
+    keys = ("dim", "q", "stripe")
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_survivors(p), "query_id long, vec_id long, lower double, upper double")
+    by_lower, by_query = Window.partitionBy("query_id").orderBy(F.desc("lower")), Window.partitionBy("query_id")
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"))  # of an id that repeats
+    pairs = pairs.withColumn("place", F.row_number().over(by_lower)).withColumn("floor", F.max(F.when(F.col("place") == p.neighbours, F.col("lower"))).over(by_query))
+    pairs = staged(pairs.where(F.col("upper") >= F.coalesce("floor", F.lit(float("-inf")))).select("query_id", "vec_id"))
+    both = pairs.join(all_.select("vec_id", F.col("embedding").alias("e")), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").where(F.size("e") == F.size("q"))
+    product = F.aggregate(F.zip_with("q", "e", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    found = both.select("query_id", "vec_id", product.alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= p.neighbours)
 
