@@ -34,8 +34,11 @@ class AnnParams:
     stripe_bytes: int = 16_000_000
     #: Queries whose products with a block of candidates are held at once.
     tile: int = 512
-    #: Least number of tasks over which tiles are spread.
-    tasks: int = 48
+    #: Tasks over which the tiles of small inputs are spread, by smaller blocks of queries, and the least queries in these.
+    tasks: int = 12
+    least_queries: int = 256
+    #: Bytes of queries' vectors that are sent to all tasks for the last products, at most; beyond that they are joined.
+    sent_bytes: int = 16_000_000
     #: Parts into which equal vectors are dealt before the smallest ids of each are taken.
     salts: int = 32
 
@@ -70,10 +73,13 @@ def bounds(queries: tuple, vectors: tuple) -> tuple[np.ndarray, np.ndarray]:
 _BLOCK = "block int, dim int, ids binary, plain binary, codes binary, scales binary, sums binary"
 
 
-def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """Blocks of (vec_id, embedding, plain), dealt evenly, as raw bytes; plain rows may set a floor."""
-    n_rows, dim = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    n = max(1, -(-n_rows * (dim or 1) // block_bytes))
+def _size(rows: DataFrame) -> tuple[int, int]:
+    """Numbers of vectors and of their components."""
+    return tuple(x or 0 for x in rows.agg(F.count("*"), F.sum(F.size("embedding"))).first())
+
+
+def _blocks(rows: DataFrame, n: int) -> DataFrame:
+    """About n blocks of (vec_id, embedding, plain), dealt evenly, as raw bytes; plain rows may set a floor."""
 
     def pack(table: pa.Table) -> pa.Table:
         ids, plain, dims = (table.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "plain", "dim"))
@@ -138,21 +144,23 @@ def _searched(rows: DataFrame, p: AnnParams) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, p: AnnParams | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's nearest, from rows of (vec_id, embedding) on both sides."""
     p = p or AnnParams()
-    asked, all_ = (x.where(F.col("vec_id").isNotNull() & takes_part("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")) for x in (queries, vectors))
+    asked, all_ = (x.where(F.col("vec_id").isNotNull() & takes_part("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding") for x in (queries, vectors))
     asked, all_ = staged(asked.distinct()), staged(_searched(all_, p))
-    some, many = _blocks(asked.withColumn("plain", F.lit(True)), p.query_bytes), _blocks(all_, p.candidate_bytes)
-    n_queries, n_blocks = (x.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] + 1 for x in (some, many))
-    stripes = max(1, min(n_blocks, max(-(-p.tasks // max(1, n_queries)), n_blocks * p.candidate_bytes // p.stripe_bytes)))
+    (n_asked, q_bytes), (_, c_bytes) = _size(asked), _size(all_)
+    n_blocks, stripes = (max(1, -(-c_bytes // x)) for x in (p.candidate_bytes, p.stripe_bytes))
+    n_queries = max(1, -(-q_bytes // p.query_bytes), min(p.tasks // stripes, n_asked // p.least_queries))
+    some, many = _blocks(asked.withColumn("plain", F.lit(True)), n_queries), _blocks(all_, n_blocks)
     left = some.withColumn("q", F.col("block")).withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
-    right = many.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_queries - 1))))).withColumn("stripe", F.col("block") % stripes)
+    right = many.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).withColumn("stripe", F.col("block") % stripes)
     keys = ("dim", "q", "stripe")
     pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_survivors(p), "query_id long, vec_id long, lower double, upper double")
     by_lower, by_query = Window.partitionBy("query_id").orderBy(F.desc("lower")), Window.partitionBy("query_id")
     pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"))  # of an id that repeats
     pairs = pairs.withColumn("place", F.row_number().over(by_lower)).withColumn("floor", F.max(F.when(F.col("place") == p.neighbours, F.col("lower"))).over(by_query))
     pairs = staged(pairs.where(F.col("upper") >= F.coalesce("floor", F.lit(float("-inf")))).select("query_id", "vec_id"))
-    both = pairs.join(all_.select("vec_id", F.col("embedding").alias("e")), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").where(F.size("e") == F.size("q"))
-    product = F.aggregate(F.zip_with("q", "e", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    own = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    both = pairs.join(all_.select("vec_id", F.col("embedding").alias("e")), "vec_id").join(F.broadcast(own) if 8 * q_bytes <= p.sent_bytes else own, "query_id").where(F.size("e") == F.size("q"))
+    product = F.aggregate(F.zip_with("q", "e", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     found = both.select("query_id", "vec_id", product.alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= p.neighbours)
