@@ -230,7 +230,7 @@ def test_neighbours(spark):
     rows = [(i, rng.normal(size=8).tolist()) for i in range(200)]
     rows += [(i, [1.0] * 8) for i in range(200, 260)] + [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [1.0, None] * 4), (320, [1.0, 2.0]), (340, [2.0, 1.0]), (None, [1.0] * 8), (7, [3.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    for p in (ann_join.AnnParams(), ann_join.AnnParams(query_bytes=24, candidate_bytes=320, stripe_bytes=700, tile=2)):
+    for p in (ann_join.AnnParams(), ann_join.AnnParams(query_bytes=24, candidate_bytes=320, stripe_bytes=700, tile=2, sent_bytes=0)):
         got = {}
         for r in ann_join.search_table(df, p).collect():
             got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
