@@ -1,11 +1,12 @@
 """Secret scanning: three base patterns, and a battery of randomness tests over other long tokens.
 
 A candidate is a maximal run of base64 characters of least length that no base span touches.  Its encoding is the smallest
-alphabet that holds it.  Three tests take the token as random over that alphabet: chi-squared uniformity of its symbols, runs
-above and below the middle, and lag-1 serial correlation; Fisher's method combines them, and a token that fails is no secret.
-For one that passes, the likelihood ratio of the uniform alphabet to a fixed model of natural writing bounds the chance that
-such a token is natural text.  Benjamini-Hochberg over all candidates of the corpus, within classes of length, holds the
-share of false discoveries.
+alphabet that holds it.  Three tests take the token as random over that alphabet: chi-squared uniformity of its symbols (in so many
+bins that each expects five), runs above and below the middle, and lag-1 serial correlation; Fisher's method combines them, and a
+token that fails is no secret.  For one that passes, uniformity is tested the other way round: natural writing puts a known share of
+its symbols, at least, on the alphabet's most natural ones (as many as tell most), and the binomial tail bounds the chance that it puts as few there as
+the token does.  Benjamini-Hochberg on these p values over all candidates of the corpus, within classes of length, holds the share of
+false discoveries.
 
 Null and empty texts have no spans.  Offsets count code points.  Spans of different base kinds may overlap; spans are in order of
 start, then kind.  Rows are scanned one by one, so repeated rows give repeated results (and count as candidates each time).
@@ -58,6 +59,8 @@ class SecretParams:
     least_length: int = 20
     #: Least combined p of the battery.
     battery_alpha: float = 0.001
+    #: Part of the most natural symbols' share that any natural writing is taken to have.
+    natural_slack: float = 0.95
     false_discovery_rate: float = 0.01
     #: First lengths of the classes within which false discoveries are held.
     length_classes: tuple[int, ...] = (20, 32, 48, 96)
@@ -70,11 +73,20 @@ def _token_class() -> np.ndarray:
     return out
 
 
-@lru_cache(1)
-def natural_log_shares() -> dict[str, float]:
+@lru_cache(32)
+def natural_order(alphabet: str, slack: float) -> tuple[dict[str, int], frozenset[str], float]:
+    """The places of an alphabet's symbols from the most natural on, the first ones of them that tell most, and the least share of these in natural writing."""
     raw = {c: 0.9 * _NATURAL[c] / 1000 for c in _LOWER} | {c.upper(): 0.045 * _NATURAL[c] / 1000 for c in _LOWER} | dict.fromkeys(_DIGITS, 0.003) | dict.fromkeys("+/-_", 0.005)
-    total = sum(raw.values())
-    return {c: math.log(x / total) for c, x in raw.items()}
+    symbols = sorted(alphabet, key=lambda c: (-raw[c], c))
+    k, total = len(symbols), sum(raw[c] for c in symbols)
+    shares = [slack * sum(raw[c] for c in symbols[:m]) / total for m in range(1, k)]
+    m = max(range(1, k), key=lambda m: divergence(m / k, shares[m - 1]) if m / k < shares[m - 1] else 0.0)
+    return {c: i for i, c in enumerate(symbols)}, frozenset(symbols[:m]), shares[m - 1]
+
+
+def divergence(x: float, q: float) -> float:
+    """Of a share x from a share q."""
+    return (x * math.log(x / q) if x else 0.0) + ((1 - x) * math.log((1 - x) / (1 - q)) if x < 1 else 0.0)
 
 
 def two_sided(z: float) -> float:
@@ -94,8 +106,11 @@ def battery(token: str, alphabet: str) -> float:
     n, k = len(token), len(alphabet)
     at = {c: i for i, c in enumerate(alphabet)}
     x = np.array([at[c] for c in token], float)
-    counts = np.bincount(x.astype(int), minlength=k)
-    chi2, df = float(((counts - n / k) ** 2).sum() * k / n), k - 1
+    order = natural_order(alphabet, 1.0)[0]
+    bins = max(2, min(k, n // 5))
+    place = np.array([order[c] for c in token]) * bins // k
+    expected = n * np.bincount(np.arange(k) * bins // k) / k
+    chi2, df = float(((np.bincount(place, minlength=bins) - expected) ** 2 / expected).sum()), bins - 1
     p_uniform = two_sided(((chi2 / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
     high = x >= k / 2
     n1, n0 = int(high.sum()), int((~high).sum())
@@ -111,10 +126,11 @@ def battery(token: str, alphabet: str) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def evidence(token: str, alphabet: str) -> float:
-    """Natural log of the likelihood of a token as random over its alphabet, relative to natural writing."""
-    shares = natural_log_shares()
-    return -len(token) * math.log(len(alphabet)) - sum(k * shares[c] for c, k in Counter(token).items())
+def evidence(token: str, alphabet: str, slack: float) -> float:
+    """Minus the natural log of a bound (Chernoff's) on the chance that natural writing has as few of the most natural symbols."""
+    _, first, q = natural_order(alphabet, slack)
+    x = sum(c in first for c in token) / len(token)
+    return len(token) * divergence(x, q) if x < q else 0.0
 
 
 def scan(text: str | None, p: SecretParams) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float, float]]]:
@@ -142,7 +158,7 @@ def scan(text: str | None, p: SecretParams) -> tuple[list[tuple[int, int, int]],
         token = text[a:b]
         if encoding := infer_encoding(token):
             alphabet = ENCODINGS[encoding]
-            candidates.append((a, b, battery(token, alphabet), evidence(token, alphabet)))
+            candidates.append((a, b, battery(token, alphabet), evidence(token, alphabet, p.natural_slack)))
     return sorted(spans), candidates
 
 
