@@ -3,8 +3,8 @@
 Each text gives measures of its form: lengths, shares of kinds of characters and words, repetition.  A linear model over them (each
 with a clipped standard score and what goes beyond one deviation) minimises the non-negative unbiased risk
 `prior * P[loss(+)] + max(0, U[loss(-)] - prior * P[loss(-)])` with the logistic loss; positives are rows labelled 1, unlabelled
-rows are all of the corpus outside the held fold.  The class prior is the share of 1 among labelled rows; if they are all 1, it
-comes from how a classifier of positives against unlabelled rows scores either.
+rows are all of the corpus outside the held fold.  Rows labelled 0 are not used.  The class prior comes from a classifier of positives
+against unlabelled rows: where only positives lie, its odds are 1 to the prior, so the prior is one over the median of the positives' odds.
 
 The fit takes bounded samples (`most_rows` of each kind) of rows outside the held fold; measures and scores are of all rows and whole
 texts.  Null and empty texts have measures of 0 and get a score as any other.  Of several labels of an id the smallest counts, null
@@ -76,7 +76,10 @@ def measures(text: str | None) -> np.ndarray:
     lately = np.zeros(words, bool)
     for k in range(1, min(17, words)):
         lately[k:] |= x[k:] == x[:-k]
-    triples = (x[:-2] * len(ids) + x[1:-1]) * len(ids) + x[2:] if words > 2 and len(ids) < 2_000_000 else np.zeros(0, int)
+    if len(ids) < 2_000_000:
+        triples = (x[:-2] * len(ids) + x[1:-1]) * len(ids) + x[2:]
+    else:  # a product of 64 bits would not hold them: mixed by two odd factors
+        triples = (x[:-2] * 0x1E3779B97F4A7C15 + x[1:-1]) * 0x1B873593CC9E2D51 + x[2:]
     ends = np.count_nonzero((points == 46) | (points == 63))
     flat = kinds.view()
     # A word's last character lies before a space or the end of the text.
@@ -86,7 +89,7 @@ def measures(text: str | None) -> np.ndarray:
         sum(1 for t in ids if not t[0].isalnum() and len(t) == 1) and sum(1 for t in tokens if len(t) == 1 and not t.isalnum()) / words,
         np.count_nonzero(flat[last] == 6) / max(1, len(last)), np.count_nonzero(points == 33) / words,
         len(ids) / words, np.count_nonzero(x[1:] == x[:-1]) / words, np.count_nonzero(lately) / words, math.log1p(len(lines)), len(set(lines)) / max(1, len(lines)),
-        sum(1 for t in tokens if len(t) <= 3) / words, math.log1p(words / (ends + 1)), np.bincount(x).max() / words, 1 - len(np.unique(triples)) / max(1, len(triples)), np.count_nonzero(points > 127) / seen,
+        sum(1 for t in tokens if len(t) <= 3) / words, math.log1p(words / (ends + 1)), np.bincount(x).max() / words, 1 - len(np.unique(triples)) / len(triples) if len(triples) else 0.0, np.count_nonzero(points > 127) / seen,
     )
     return out
 
@@ -133,14 +136,17 @@ def _adam(gradient, size: int, p: QualityParams) -> np.ndarray:  # noqa: ANN001
     return w
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, p: QualityParams) -> PuModel:
+def class_prior(x_p: np.ndarray, x_u: np.ndarray, p: QualityParams) -> float:
+    """The share of positives among unlabelled inputs, between 0.05 and 0.95."""
+    w = _adam(lambda w: x_p.T @ (_sigmoid(x_p @ w) - 1) / len(x_p) + x_u.T @ _sigmoid(x_u @ w) / len(x_u), x_p.shape[1], p)
+    return float(np.clip(1 / np.median(np.exp(np.clip(x_p @ w, -10, 10))), 0.05, 0.95))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, p: QualityParams) -> PuModel:
     mean, deviation = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
     model = PuModel(mean, deviation, np.zeros(0))
     x_p, x_u = model.inputs(positive), model.inputs(unlabelled)
-    if prior is None:  # scores of positives against unlabelled rows: their mean over all rows, by their mean over positives
-        w = _adam(lambda w: x_p.T @ (_sigmoid(x_p @ w) - 1) / len(x_p) + x_u.T @ _sigmoid(x_u @ w) / len(x_u), x_p.shape[1], p)
-        odds = lambda x: np.exp(np.clip(x @ w, -10, 10))
-        prior = float(np.clip(1 / max(1.0, np.quantile(odds(x_p), 0.95)), 0.05, 0.95))
+    prior = class_prior(x_p, x_u, p)
 
     def gradient(w: np.ndarray) -> np.ndarray:
         f_p, f_u = x_p @ w, x_u @ w
@@ -166,14 +172,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, p: QualityParams | None =
     p = p or QualityParams()
     rows = with_row_id(docs.select("doc_id", "text"), "rid").withColumn("held_out", fold("doc_id", p.folds) == p.held_fold)
     measured = staged(_measured(rows))
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = measured.where(~F.col("held_out")).join(small_or_plain(known, 500_000), "doc_id").select("rid", "measures", "quality")
-    counts = {r[0]: r[1] for r in labelled.groupBy("quality").count().collect()}
-    model = None
-    if counts.get(1):
-        prior = counts[1] / sum(counts.values()) if len(counts) > 1 else None
-        positive = _sample(labelled.where("quality = 1"), p.most_rows)
-        model = fit(positive, _sample(measured.where(~F.col("held_out")), p.most_rows), prior, p)
+    known = staged(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id"))
+    learned = measured.where(~F.col("held_out"))
+    positive = _sample(learned.join(small_or_plain(known, 500_000), "doc_id", "left_semi"), p.most_rows)
+    model = fit(positive, _sample(learned, p.most_rows), p) if len(positive) else None
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
