@@ -1,13 +1,15 @@
 """Toxicity by weak supervision: many voters, a generative label model over their votes, a linear classifier on its posteriors.
 
-Voters are word lists (fixed ones, and words and word beginnings that labelled toxic rows hold far more often than clean ones, dealt
-over several voters) and patterns.  A voter says toxic, says clean, or abstains.  The label model gives each voter its shares of
-votes in either class, fitted by expectation-maximisation over the votes of all texts, with labelled rows outside the held fold as
-anchors; pairs of voters that agree beyond what the classes explain are taken as correlated, and their votes weigh less by that.
-A logistic model over votes and counts of hits learns the posteriors of a bounded sample and scores all texts.
+Voters are word lists (fixed ones by kind and language, and words and word beginnings that labelled toxic rows hold far more often
+than clean ones, dealt over several voters) and patterns.  A voter says toxic, says clean, or abstains.  The label model is a tree
+for either class: each voter's votes have shares that depend on the class and on the votes of the voter it goes along with most
+beyond what the classes explain.  These shares, accuracies and correlations alike, are fitted by expectation-maximisation over the votes of
+all texts, with labelled rows outside the held fold as anchors.  A logistic model over votes and counts of hits learns the posteriors
+of a bounded sample and scores all texts.
 
 Null and empty texts have no hits and get a score as any other.  Of several labels of an id the largest counts, null ones don't.
-Without labels the fixed lists and patterns vote alone.  Rows are scored one by one, so repeated rows get repeated results.
+Without labels the fixed lists and patterns vote alone.  Rows are scored one by one, so repeated rows get repeated results; equal
+texts have equal scores.  Of words that tell as much, the one that sorts first is learned.
 """
 
 from __future__ import annotations
@@ -28,19 +30,27 @@ from canopy.llm.common import fold, small_or_plain, staged, with_row_id
 
 TERM = re.compile(r"\w+")
 
-# Words that voters take as insults, by kind.
-INSULTS = ("idiot", "stupid", "moron", "loser", "clown", "fool", "dumb", "imbecile", "jerk", "coward", "liar", "lunatic")
-CONTEMPT = ("trash", "scum", "pathetic", "worthless", "disgusting", "filth", "vermin", "garbage", "vile", "parasite", "despicable")
+# Words that voters take as insults, by kind and language.
+LISTS = {
+    "mind": ("idiot", "idiots", "stupid", "moron", "morons", "fool", "fools", "dumb", "imbecile", "lunatic", "dimwit", "halfwit", "braindead", "retard"),
+    "person": ("loser", "losers", "clown", "jerk", "coward", "liar", "creep", "bastard", "scumbag", "freak", "weirdo", "hypocrite"),
+    "contempt": ("trash", "scum", "pathetic", "worthless", "disgusting", "filth", "filthy", "vermin", "garbage", "vile", "parasite", "despicable", "subhuman"),
+    "rage": ("hate", "hateful", "kill", "destroy", "shut", "burn", "damn", "crap", "sucks"),
+    "german": ("dumm", "dummkopf", "trottel", "vollidiot", "arschloch", "abschaum", "dreck", "widerlich", "versager", "feigling"),
+    "spanish": ("estúpido", "estúpida", "imbécil", "tonto", "basura", "asqueroso", "escoria", "cobarde", "mentiroso", "inútil"),
+    "french": ("stupide", "imbécile", "crétin", "ordure", "dégoûtant", "minable", "lâche", "menteur", "abruti", "racaille"),
+}
+_ADDRESSED = frozenset(("you", "your", "youre", "dein", "tu", "tus", "usted", "vous", "votre"))
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     folds: int = 5
     held_fold: int = 0
-    #: Words and word beginnings learned, at most; candidates among which they are chosen, at most.
+    #: Words and word beginnings learned, at most, the most telling first.
     learned: int = 600
-    candidates: int = 100_000
     prefixes: tuple[int, ...] = (4, 5, 6)
+    #: Least number of toxic rows that hold a learned word, whatever the corpus's size.
     least_rows: int = 4
     #: Least odds of a learned word in toxic rows, relative to clean ones.
     least_odds: float = 20.0
@@ -59,38 +69,37 @@ def features(text: str | None, p: ToxicityParams) -> set[str]:
     return words | {"^" + w[:k] for w in words for k in p.prefixes if len(w) > k}
 
 
-def _counted(rows: DataFrame, p: ToxicityParams, only: frozenset[str] | None) -> DataFrame:
-    """feature, n: in how many texts each feature occurs."""
-    sent = rows.sparkSession.sparkContext.broadcast(only)
+def _counted(rows: DataFrame, p: ToxicityParams) -> DataFrame:
+    """feature, toxic, clean: in how many texts of (text, toxic) of either class each feature occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["feature", "n"])
+        counts: tuple[Counter, Counter] = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            names = list(counts[0] | counts[1])
+            return pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "toxic": pa.array([counts[1][f] for f in names], pa.int64()), "clean": pa.array([counts[0][f] for f in names], pa.int64())})
+
         for batch in batches:
-            for text in batch.column(0):
-                found = features(text.as_py(), p)
-                counts.update(found if sent.value is None else found & sent.value)
-                if len(counts) > 300_000:
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                counts[toxic == 1].update(features(text.as_py(), p))
+                if len(counts[0]) + len(counts[1]) > 300_000:
                     yield out()
-                    counts = Counter()
+                    counts[0].clear()
+                    counts[1].clear()
         yield out()
 
-    return rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return rows.select("text", "toxic").mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn_lexicon(labelled: DataFrame, p: ToxicityParams) -> list[str]:
     """Features that toxic rows of (text, toxic) hold far more often than clean ones, the most telling first."""
-    sizes = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    sizes = {r[0]: r[1] for r in labelled.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
+    n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
         return []
-    least = max(p.least_rows, math.ceil(0.001 * n1))
-    toxic = _counted(labelled.where("toxic = 1"), p, None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(p.candidates)
-    in_toxic = {r["feature"]: r["n"] for r in toxic.collect()}
-    in_clean = {r["feature"]: r["n"] for r in _counted(labelled.where("toxic = 0"), p, frozenset(in_toxic)).collect()}
-    odds = {f: math.log((n + 0.5) / (n1 + 1)) - math.log((in_clean.get(f, 0) + 0.5) / (n0 + 1)) for f, n in in_toxic.items()}
-    told = [f for f in odds if odds[f] >= math.log(p.least_odds)]
-    return sorted(told, key=lambda f: (-in_toxic[f] * odds[f], f))[: p.learned]
+    odds = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
+    told = _counted(labelled, p).where(F.col("toxic") >= p.least_rows).withColumn("odds", odds).where(F.col("odds") >= math.log(p.least_odds))
+    return [r["feature"] for r in told.orderBy(F.desc(F.round(F.col("toxic") * F.col("odds"), 9)), "feature").limit(p.learned).collect()]
 
 
 class Voters:
@@ -99,91 +108,101 @@ class Voters:
     def __init__(self, learned: list[str], p: ToxicityParams) -> None:
         self.p = p
         self.word: dict[str, list[int]] = {}
-        for k, lexicon in enumerate((INSULTS, CONTEMPT)):
+        fixed = len(LISTS)
+        for k, lexicon in enumerate(LISTS.values()):
             for w in lexicon:
                 self.word.setdefault(w, []).append(k)
         self.prefix: dict[str, list[int]] = {}
         for f in learned:
             if f[0] == "^":
-                self.prefix.setdefault(f[1:], []).append(2 + p.word_voters + zlib.crc32(f.encode()) % p.prefix_voters)
+                self.prefix.setdefault(f[1:], []).append(fixed + p.word_voters + zlib.crc32(f.encode()) % p.prefix_voters)
             else:
-                self.word.setdefault(f, []).append(2 + zlib.crc32(f.encode()) % p.word_voters)
+                self.word.setdefault(f, []).append(fixed + zlib.crc32(f.encode()) % p.word_voters)
         self.lengths = sorted({len(x) for x in self.prefix})
 
     @property
     def n_lexicons(self) -> int:
-        return 2 + self.p.word_voters + self.p.prefix_voters
+        return len(LISTS) + self.p.word_voters + self.p.prefix_voters
 
     @property
     def n(self) -> int:
-        return self.n_lexicons + 3
+        return self.n_lexicons + 6
 
     def __call__(self, text: str | None) -> tuple[bytes, list[float]]:
         tokens = TERM.findall(text.lower()) if text else []
-        votes, kinds, hits = bytearray(self.n), 0, 0
-        for w in set(tokens):
+        votes, hit = bytearray(self.n), {}
+        for w, times in Counter(tokens).items():
             said = list(self.word.get(w, ()))
             for k in self.lengths:
                 if len(w) > k:
                     said += self.prefix.get(w[:k], ())
             if said:
-                kinds += 1
-                hits += tokens.count(w)
+                hit[w] = times
                 for v in said:
                     votes[v] = 2
+        kinds, hits = len(hit), sum(hit.values())
         at = self.n_lexicons
         votes[at] = 2 if kinds >= 2 else 0  # several distinct hits
         votes[at + 1] = 1 if kinds == 0 else 0  # no hit at all
         votes[at + 2] = 2 if hits >= 3 and 100 * hits >= len(tokens) else 0  # many hits for its length
+        if hit:
+            places = [i for i, w in enumerate(tokens) if w in hit]
+            votes[at + 3] = 2 if any(a + 1 == b for a, b in zip(places, places[1:], strict=False)) else 0  # one beside the other
+            votes[at + 4] = 2 if any(_ADDRESSED.intersection(tokens[max(0, i - 3) : i + 4]) for i in places) else 0  # said to somebody
+            votes[at + 5] = 1 if kinds == 1 and 1000 * hits < len(tokens) else 0  # one in very much text
         return bytes(votes), [math.log1p(kinds), math.log1p(hits), 100 * hits / (len(tokens) + 20), float(kinds == 1)]
 
 
 class LabelModel:
-    """Two classes; for each voter, the shares of its three votes in either class, and a weight for how far it says its own."""
+    """Two classes; for each voter, the shares of its three votes by class and by the votes of the voter above it in a tree."""
 
     def __init__(self, n: int, prior: float) -> None:
-        self.prior = prior
-        self.shares = np.empty((n, 2, 3))
-        self.shares[:, 0] = (0.8, 0.17, 0.03)
-        self.shares[:, 1] = (0.6, 0.05, 0.35)
-        self.weights = np.ones(n)
+        self.prior, self.parent = prior, np.full(n, -1)
+        self.shares = np.empty((n, 2, 3, 3))  # voter, class, vote above, vote
+        self.shares[:, 0], self.shares[:, 1] = (0.8, 0.17, 0.03), (0.6, 0.05, 0.35)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        logs = np.log(self.shares)
-        at = np.arange(votes.shape[1])
-        told = (logs[at, 1, votes] - logs[at, 0, votes]) * self.weights
+        logs, at = np.log(self.shares), np.arange(votes.shape[1])
+        above = np.where(self.parent >= 0, votes[:, self.parent], 0)
+        told = logs[at, 1, above, votes] - logs[at, 0, above, votes]
         return 1 / (1 + np.exp(-np.clip(math.log(self.prior / (1 - self.prior)) + told.sum(axis=1), -30, 30)))
 
-    def fit(self, votes: np.ndarray, counts: np.ndarray, anchors: np.ndarray, rounds: int) -> LabelModel:
+    def fit(self, votes: np.ndarray, counts: np.ndarray, anchors: np.ndarray, rounds: int, least_bits: float = 1e-4) -> LabelModel:
         """votes: distinct patterns; counts: of texts without a label; anchors: of clean and toxic labelled texts of each."""
         if anchors.sum() > 0 and anchors.sum(axis=0).min() > 0:
             self.prior = float(np.clip(anchors[:, 1].sum() / anchors.sum(), 0.001, 0.999))
-            self._shares(votes, anchors[:, 0], anchors[:, 1])
+            self._learn(votes, anchors[:, 0], anchors[:, 1], math.inf)
         for _ in range(rounds):
             q = self.posterior(votes)
             clean, toxic = counts * (1 - q) + anchors[:, 0], counts * q + anchors[:, 1]
-            self._shares(votes, clean, toxic)
+            self._learn(votes, clean, toxic, least_bits)
             self.prior = float(np.clip(toxic.sum() / max(clean.sum() + toxic.sum(), 1e-9), 0.001, 0.999))
-            self.weights = 1 / (1 + self._excess(votes, clean, toxic).sum(axis=1))
         return self
 
-    def _shares(self, votes: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> None:
-        for y, n in enumerate((clean, toxic)):
-            for v in range(3):
-                self.shares[:, y, v] = ((votes == v) * n[:, None]).sum(axis=0) + 0.5
-        self.shares /= self.shares.sum(axis=2, keepdims=True)
-
-    @staticmethod
-    def _excess(votes: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-        """Absolute correlations of voters within the classes, without the diagonal and what is near zero."""
-        spoke, out = (votes != 0).astype(float), 0.0
-        for n in (clean, toxic):
-            x = spoke - (spoke * n[:, None]).sum(axis=0) / max(n.sum(), 1e-9)
-            c = (x * n[:, None]).T @ x / max(n.sum(), 1e-9)
-            d = np.sqrt(np.maximum(np.diag(c), 1e-9))
-            out = out + np.abs(c / d[:, None] / d) * n.sum() / max(clean.sum() + toxic.sum(), 1e-9)
-        np.fill_diagonal(out, 0)
-        return np.where(out > 0.1, out, 0)
+    def _learn(self, votes: np.ndarray, clean: np.ndarray, toxic: np.ndarray, least_bits: float) -> None:
+        """The tree of largest information that voters give on each other within the classes, and its shares."""
+        n = votes.shape[1]
+        said = (votes[:, :, None] == np.arange(3)).reshape(len(votes), 3 * n).astype(float)
+        joint = np.stack([(said * w[:, None]).T @ said for w in (clean, toxic)]).reshape(2, n, 3, n, 3).transpose(0, 1, 3, 2, 4)  # class, voter, voter, votes
+        p = (joint + 0.05) / (joint + 0.05).sum(axis=(0, 3, 4), keepdims=True)
+        y = p.sum(axis=(3, 4), keepdims=True)
+        bits = (p * np.log2(p * y / (p.sum(axis=4, keepdims=True) * p.sum(axis=3, keepdims=True)))).sum(axis=(0, 3, 4))
+        np.fill_diagonal(bits, 0)
+        bits = np.where(bits > least_bits, bits, 0)
+        self.parent = np.full(n, -1)
+        best, link, inside = np.zeros(n), np.full(n, -1), np.zeros(n, bool)
+        for _ in range(n):  # Prim's tree; a voter that goes along with none starts anew
+            i = int(np.argmax(np.where(inside, -1.0, best)))
+            inside[i], self.parent[i] = True, link[i]
+            closer = ~inside & (bits[i] > best)
+            best[closer], link[closer] = bits[i][closer], i
+        own = joint[:, np.arange(n), np.arange(n)].diagonal(axis1=2, axis2=3)  # class, voter, vote
+        for i, above in enumerate(self.parent):
+            plain = own[:, i] + 0.5
+            plain /= plain.sum(axis=1, keepdims=True)
+            table = np.zeros((2, 3, 3)) if above < 0 else joint[:, above, i]
+            table = table + 2 * plain[:, None, :]  # what is rare leans on the voter's own shares
+            self.shares[i] = table / table.sum(axis=2, keepdims=True)
 
 
 def inputs(votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
