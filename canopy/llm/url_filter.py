@@ -1,7 +1,7 @@
 """URL filtering with host rules and a weighted vocabulary.
 
 An Aho-Corasick automaton finds all vocabulary terms of a url in one pass; a hit counts if no letter or digit touches it.  One
-strict hit rejects, as do soft hits on distinct terms whose weights reach the limit.  Rules come first: the longest rule that
+strict hit rejects, as do soft hits on distinct terms whose weights reach the limit.  The vocabulary can be loaded from a table.  Rules come first: the longest rule that
 fits host and path decides alone.
 
 A null url, or one with no `://`, has an empty host and path; no rule fits it, and its terms count as in any other.  Rows are
@@ -35,18 +35,45 @@ class UrlRule:
 DEFAULT_RULES = (UrlRule("block", "net"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/"))
 
 
+# Terms of which one rejects.
+STRICT = (
+    "anal", "bestiality", "blowjob", "bukkake", "camgirl", "camgirls", "casino", "casinos", "cialis", "creampie", "cumshot", "deepthroat", "escort", "escorts",
+    "fetish", "gangbang", "hardcore", "hentai", "jackpot", "keygen", "levitra", "milf", "nsfw", "orgy", "porn", "porno", "pornstar", "roulette", "sexcam",
+    "sportsbook", "viagra", "warez", "xnxx", "xvideos", "xxx",
+)
+# Terms of which several reject, with their weights.
+SOFT = (
+    ("adult", 1.0), ("affiliate", 0.5), ("babes", 1.0), ("bet", 1.0), ("bets", 1.0), ("betting", 1.0), ("bingo", 1.0), ("bonus", 0.5), ("buy", 0.5), ("cam", 0.5), ("cams", 1.0),
+    ("cash", 0.5), ("cheap", 1.0), ("clickbait", 1.0), ("click", 1.0), ("crack", 1.0), ("cracked", 1.0), ("credit", 0.5), ("crypto", 0.5), ("dating", 1.0), ("deals", 0.5),
+    ("discount", 0.5), ("download", 0.5), ("erotic", 1.0), ("farm", 0.5), ("forex", 1.0), ("free", 0.5), ("gambling", 1.0), ("girls", 0.5), ("giveaway", 1.0), ("hot", 0.5),
+    ("hookup", 1.0), ("lingerie", 0.5), ("loan", 1.0), ("loans", 1.0), ("lottery", 1.0), ("meds", 1.0), ("naked", 1.0), ("nude", 1.0), ("nudes", 1.0), ("offer", 0.5),
+    ("online", 0.5), ("payday", 1.0), ("pharmacy", 1.0), ("pills", 1.0), ("poker", 1.0), ("promo", 0.5), ("replica", 1.0), ("rx", 0.5), ("sale", 0.5), ("seo", 1.0), ("serial", 0.5),
+    ("sex", 1.0), ("sexy", 1.0), ("singles", 0.5), ("slot", 0.5), ("slots", 1.0), ("spam", 1.0), ("spin", 0.5), ("torrent", 1.0), ("torrents", 1.0), ("wager", 1.0),
+    ("weightloss", 1.0), ("win", 0.5), ("winner", 0.5), ("x", 0.5),
+)
+
+
 @dataclass(frozen=True)
 class UrlVocabulary:
-    strict: tuple[str, ...] = ("porn", "xxx", "hentai", "camgirls", "escorts", "spam-farm", "cheap-pills", "viagra", "casino", "warez", "jackpot")
+    strict: tuple[str, ...] = STRICT
     #: Terms with their weights.
-    soft: tuple[tuple[str, float], ...] = (
-        ("adult", 1.0), ("bet", 1.0), ("cheap", 1.0), ("click", 1.0), ("crack", 1.0), ("deals", 0.5), ("dating", 1.0), ("farm", 0.5), ("free", 0.5), ("loan", 1.0),
-        ("nude", 1.0), ("pills", 1.0), ("poker", 1.0), ("promo", 0.5), ("sex", 1.0), ("slots", 1.0), ("spam", 1.0), ("torrent", 1.0), ("win", 0.5),
-    )
+    soft: tuple[tuple[str, float], ...] = SOFT
     #: Least number of distinct soft terms, and least sum of their weights, that reject.
     soft_terms: int = 2
     soft_weight: float = 1.5
 
+    @classmethod
+    def from_table(cls, terms: DataFrame, most_terms: int = 1_000_000) -> UrlVocabulary:
+        """A vocabulary of rows (term, weight), a null weight for strict terms; A to Z lower-cased, empty terms left out, of equal terms the heaviest.
+
+        The automaton goes to all tasks, so a table of more than most_terms rows is an error.
+        """
+        found = terms.where("term <> ''").groupBy(F.translate("term", UPPER_AZ, LOWER_AZ).alias("term")).agg(F.max(F.col("weight").isNull()).alias("strict"), F.max("weight").alias("weight"))
+        rows = found.orderBy("term").limit(most_terms + 1).collect()
+        if len(rows) > most_terms:
+            raise ValueError(f"more than {most_terms} vocabulary terms")
+        return cls(tuple(r["term"] for r in rows if r["strict"]), tuple((r["term"], float(r["weight"])) for r in rows if not r["strict"]))
+
     def automaton(self) -> ahocorasick.Automaton:
         out = ahocorasick.Automaton()
         for t in self.strict:

@@ -106,6 +106,11 @@ def test_urls(spark):
     con.executemany("INSERT INTO pages VALUES (?, ?)", pages)
     assert {r[0]: r[1:] for r in con.execute(url_filter.oracle_sql()).fetchall()} == got
     assert url_filter.judge_urls(df.where("false")).count() == 0
+    vocabulary = url_filter.UrlVocabulary.from_table(spark.createDataFrame([("Bad", None), ("low", 0.5), ("LOW", 1.0), ("high", 0.5), ("", 1.0), (None, None)], "term string, weight double"))
+    assert vocabulary.strict == ("bad",) and vocabulary.soft == (("high", 0.5), ("low", 1.0))
+    some = spark.createDataFrame([(1, "http://a.com/bad"), (2, "http://a.com/badly"), (3, "http://low.com/low-LOW"), (4, "http://low.com/HIGH"), (5, "high")], "page_id long, url string")
+    found = {r["page_id"]: (r["verdict"], r["n_strict"], r["n_soft"], r["soft_weight"]) for r in url_filter.judge_urls(some, (), vocabulary).collect()}
+    assert found == {1: ("block", 1, 0, 0.0), 2: ("allow", 0, 0, 0.0), 3: ("allow", 0, 1, 1.0), 4: ("block", 0, 2, 1.5), 5: ("allow", 0, 1, 0.5)}
 
 
 def test_secrets(spark):
