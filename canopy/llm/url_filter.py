@@ -37,7 +37,7 @@ DEFAULT_RULES = (UrlRule("block", "net"), UrlRule("allow", "example.net", "/en/"
 
 # Terms of which one rejects.
 STRICT = (
-    "anal", "bestiality", "blowjob", "bukkake", "camgirl", "camgirls", "casino", "casinos", "cialis", "creampie", "cumshot", "deepthroat", "escort", "escorts",
+    "anal", "bestiality", "blowjob", "bukkake", "camgirl", "camgirls", "casino", "cialis", "creampie", "cumshot", "deepthroat", "escort", "escorts",
     "fetish", "gangbang", "hardcore", "hentai", "jackpot", "keygen", "levitra", "milf", "nsfw", "orgy", "porn", "porno", "pornstar", "roulette", "sexcam",
     "sportsbook", "viagra", "warez", "xnxx", "xvideos", "xxx",
 )
