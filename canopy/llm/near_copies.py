@@ -7,7 +7,7 @@ fingerprints miss, between texts that are not in one component yet: a prefix fil
 that are similar enough share one among the first `n - ceil(0.8 n) + 1` of each, at places that leave room for the common shingles they
 The order puts shingles that are frequent in a sample last; it decides the cost and not the result.  A pair whose prefixes share
 `c` shingles has `c` and the rest of one set in common at most, which rules out nearly all that only share a passage; what is left is verified.
-Before that, texts with the same smallest hash (of three) are held against the one among them that has most shingles of the frequent,
+Before that, texts with the same smallest hash (of three) are held against those among them that have most shingles of the frequent,
 which edited copies are most like, so that a large cluster of near copies is mostly one component by then and costs few pairs.  Texts of fewer than five words are one shingle.
 
 Rows get their ids once, in the table that holds their features, and are told apart by these, so repeated rows and ids are one
@@ -44,7 +44,8 @@ class NearCopyParams:
     frequent: int = 200_000
     #: Parts into which the texts of a smallest hash are dealt.
     salts: int = 16
-    star_rounds: int = 1
+    #: Hubs of a part in each round.
+    hubs: tuple[int, ...] = (1, 4)
 
 
 def shingle_hashes(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -203,16 +204,17 @@ def _could(pairs: DataFrame, reps: DataFrame, p: NearCopyParams) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b").mapInArrow(run, "a long, b long")
 
 
-def _starred(reps: DataFrame, p: NearCopyParams, seed: int) -> DataFrame:
-    """Pairs among rows of (row, n, common, smallest) with the same smallest hash: each with the most common of its part, and these with the most common of all."""
+def _starred(reps: DataFrame, p: NearCopyParams, seed: int, hubs: int) -> DataFrame:
+    """Pairs among rows of (row, n, common, smallest) with the same smallest hash: each with the most common ones of its part, and these with those of all."""
     rows = reps.select("row", "n", "common", F.explode("smallest").alias("token")).withColumn("part", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(p.salts)))
     out = []
     for keys in (("token", "part"), ("token",)):
-        first = Window.partitionBy(*keys).orderBy(F.desc("common"), "row")
-        rows = staged(rows.withColumns({"hub": F.first("row").over(first), "n_hub": F.first("n").over(first)}))
-        near = rows.where((F.col("row") != F.col("hub")) & (F.least("n", "n_hub") >= F.lit(p.similarity) * F.greatest("n", "n_hub") - 1e-9))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("common"), "row"))
+        best = staged(rows.withColumn("place", place).where(F.col("place") <= hubs).drop("place"))
+        near = rows.join(best.select(*keys, F.col("row").alias("hub"), F.col("n").alias("n_hub")), list(keys))
+        near = near.where((F.col("row") != F.col("hub")) & (F.least("n", "n_hub") >= F.lit(p.similarity) * F.greatest("n", "n_hub") - 1e-9))
         out.append(near.select(F.least("hub", "row").alias("a"), F.greatest("hub", "row").alias("b")))
-        rows = rows.where("row = hub").select("row", "n", "common", "token", "part")
+        rows = best
     return out[0].unionByName(out[1])
 
 
@@ -259,14 +261,15 @@ def _copies(made: DataFrame, p: NearCopyParams) -> DataFrame:
     docs, reps = made.select("row", "text"), made.join(again, "row", "left_anti")
     printed = _verified(_fingerprint_pairs(reps.select("row", "fp")), docs, p)
     known = printed
-    for seed in range(p.star_rounds):
-        known = known.unionByName(_verified(_apart(_starred(reps, p, seed), known), docs, p))
-    roots = connected_components(known).select(F.col("node").alias("row"), F.col("root").alias("found"))
+    for seed, hubs in enumerate(p.hubs):
+        known = known.unionByName(_verified(_apart(_starred(reps, p, seed, hubs), known), docs, p))
     tokens = reps.select("row", "n", "prefix").mapInArrow(_tokens, "token long, n long, row long, place int")
     met = staged(tokens.repartition("token").sortWithinPartitions("token", "n", "row").mapInArrow(_met, "token long, n long, row long, place int"))
+    roots = connected_components(known).select(F.col("node").alias("row"), F.col("root").alias("found"))
     nodes = met.join(small_or_plain(roots, 200_000), "row", "left").select("token", "n", "row", "place", F.coalesce("found", "row").alias("root"))
     pairs = nodes.repartition("token").sortWithinPartitions("token", "n", "row").mapInArrow(_pairs(p), "a long, b long")
-    roots = connected_components(known.unionByName(_verified(_could(pairs, reps, p), docs, p))).select(F.col("node").alias("stands"), "root")
+    known = known.unionByName(_verified(_could(pairs, reps, p), docs, p))
+    roots = connected_components(known).select(F.col("node").alias("stands"), "root")
     rows = rows.join(small_or_plain(roots, 200_000), "stands", "left").select("row", "doc_id", F.coalesce("root", "stands").alias("root"))
     best = rows.groupBy("root").agg(F.min(first).alias("first"))
     return rows.join(best, "root").where(F.col("row") != F.col("first.row")).select("row", F.col("first.row").alias("kept"))
