@@ -38,6 +38,8 @@ class LangParams:
     #: and the given documents of that length have 0.16 or more; shorter texts can't be told from either.
     told_from: int = 32
     floor: float = 0.12
+    #: Training texts from which a prototype is sure enough to reject what it isn't near to.
+    sure_from: int = 50
 
     @property
     def symbols(self) -> int:
@@ -98,8 +100,8 @@ def bundle(codes: np.ndarray, counts: np.ndarray, p: LangParams) -> np.ndarray |
     return total / length if length else None
 
 
-def learn_prototypes(rows: DataFrame, p: LangParams) -> tuple[list[str], np.ndarray]:
-    """Languages and their unit prototypes from rows of (lang, text); tasks bundle what they see, Spark adds the bundles."""
+def learn_prototypes(rows: DataFrame, p: LangParams) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, their unit prototypes and numbers of texts from rows of (lang, text); tasks bundle what they see, Spark adds the bundles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -107,33 +109,34 @@ def learn_prototypes(rows: DataFrame, p: LangParams) -> tuple[list[str], np.ndar
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if (v := text_vector(text.as_py(), p)) is not None:
                     # Fixed point, so that sums don't depend on the order of rows.
-                    sums.setdefault(lang, np.zeros(p.size, np.int64))[:] += np.rint(v * 2**20).astype(np.int64)
+                    sums.setdefault(lang, np.zeros(p.size + 1, np.int64))[:] += np.rint(np.append(v, 2**-20) * 2**20).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
     parts = rows.select("lang", "text").mapInArrow(run, "lang string, v array<bigint>")
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).collect()
     langs = sorted({r["lang"] for r in summed})
-    out = np.zeros((len(langs), p.size))
+    out = np.zeros((len(langs), p.size + 1))
     at = {x: i for i, x in enumerate(langs)}
     for r in summed:
         out[at[r["lang"]], r["i"]] = r["x"]
+    texts, out = out[:, -1], out[:, :-1]
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
     if len(langs) > 1:
         out -= out.mean(axis=0)
         out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-    return langs, out.astype(np.float32)
+    return langs, out.astype(np.float32), texts
 
 
-def classify(docs: DataFrame, langs: list[str], prototypes: np.ndarray, p: LangParams, carried: list[str]) -> DataFrame:
+def classify(docs: DataFrame, learned: tuple[list[str], np.ndarray, np.ndarray], p: LangParams, carried: list[str]) -> DataFrame:
     """The carried columns, lang_pred, score and fits of each row of docs; docs has a column text.
 
     fits tells whether the text is in a learned language: false without a letter, or below the floor.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((langs, prototypes))
+    sent = docs.sparkSession.sparkContext.broadcast(learned)
     names = [*carried, "lang_pred", "score", "fits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, prototypes = sent.value
+        langs, prototypes, texts = sent.value
         for batch in batches:
             found: list[str] = []
             scores: list[float] = []
@@ -151,7 +154,7 @@ def classify(docs: DataFrame, langs: list[str], prototypes: np.ndarray, p: LangP
                 odds = np.exp(p.sharpness * (cosines - cosines[best]))
                 found.append(langs[best])
                 scores.append(float(1 / odds.sum()))
-                fits.append(len(codes) < p.told_from or bool(cosines[best] >= p.floor))
+                fits.append(len(codes) < p.told_from or bool(texts[best] < p.sure_from or cosines[best] >= p.floor))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())], names=names)
 
     types = dict(docs.dtypes)
@@ -166,10 +169,10 @@ def identify_language(docs: DataFrame, p: LangParams | None = None, carried: lis
     """
     p = p or LangParams()
     held = fold("doc_id", p.folds) == p.held_fold
-    langs, prototypes = learn_prototypes(docs.where(~held & F.col("lang").isNotNull()), p)
+    learned = learn_prototypes(docs.where(~held & F.col("lang").isNotNull()), p)
     if carried is not None:
-        return classify(docs, langs, prototypes, p, carried).drop("fits")
-    return classify(docs.select("doc_id", held.alias("held_out"), "text"), langs, prototypes, p, ["doc_id", "held_out"]).drop("fits")
+        return classify(docs, learned, p, carried).drop("fits")
+    return classify(docs.select("doc_id", held.alias("held_out"), "text"), learned, p, ["doc_id", "held_out"]).drop("fits")
 
 
 def keep_identified(docs: DataFrame, p: LangParams | None = None) -> DataFrame:
@@ -178,6 +181,6 @@ def keep_identified(docs: DataFrame, p: LangParams | None = None) -> DataFrame:
     names = docs.columns
     inner = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)), F.col("text"))
     held = fold("doc_id", p.folds) == p.held_fold
-    langs, prototypes = learn_prototypes(docs.where(~held & F.col("lang").isNotNull()), p)
-    found = classify(inner, langs, prototypes, p, [f"_c{i}" for i in range(len(names))])
+    learned = learn_prototypes(docs.where(~held & F.col("lang").isNotNull()), p)
+    found = classify(inner, learned, p, [f"_c{i}" for i in range(len(names))])
     return found.where("fits").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))

@@ -81,6 +81,45 @@ def test_lm_classes_are_normalised():
     assert p.sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_scores_by_brute_force(docs):
+    """Every token's probability from a plain softmax over all classes, times the word's share of its class; and these sum to 1."""
+    p = lm_score.LmParams(dictionary=600, own_classes=50, shared_classes=10)
+    some = docs.where("doc_id < 60")
+    chunks = staged(lm_score.split_texts(some.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).alias("held_out"), "text"), p))
+    counts = staged(lm_score.count_tokens(chunks))
+    vocabulary, _ = lm_score.build_vocabulary(counts, p)
+    model = lm_score.train_model(staged(lm_score.encode(chunks, vocabulary, "bigint")).where("NOT held_out"), vocabulary, p)
+    n = {r["token"]: r["n"] for r in counts.collect()}
+    own = {w: i for i, w in enumerate(vocabulary.words.to_pylist()) if vocabulary.classes[i] < vocabulary.n_own}
+    kind = lambda w: int(vocabulary.classes[own[w]]) if w in own else vocabulary.n_own + lm_score.shared_class(w, p.shared_classes)
+    members = Counter()
+    for w in n:
+        members[kind(w)] += 1
+    tokens = Counter()
+    for w, k in n.items():
+        tokens[kind(w)] += k
+
+    def shares(near, far):
+        guess = model.context[near] @ model.near + model.context[far] @ model.far
+        e = np.exp((model.target @ guess + model.bias).astype(float))
+        return e / e.sum()
+
+    def inside(w):
+        c = kind(w)
+        return 1.0 if c < vocabulary.n_own else (n.get(w, 0) + 0.1) / (tokens[c] + 0.1 * (members[c] + 1))
+
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(some, p).collect()}
+    start = vocabulary.start
+    for r in some.limit(12).collect():
+        near, far, total = start, start, 0.0
+        for w in [*words(r["text"]), "\n"]:
+            total += math.log10(shares(near, far)[kind(w)] * inside(w))
+            near, far = kind(w), near
+        assert got[r["doc_id"]] == pytest.approx(total, rel=1e-3)
+    q = shares(3, 5)
+    assert sum(q[kind(w)] * inside(w) for w in n) + sum(q[c] * 0.1 / (tokens[c] + 0.1 * (members[c] + 1)) for c in range(vocabulary.n_own, start)) == pytest.approx(1, abs=1e-5)
+
+
 def test_language_held_out(docs):
     rows = lang_id.identify_language(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
@@ -93,6 +132,14 @@ def test_language_und(odd):
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 3
 
 
+def test_language_floor(spark, docs):
+    rng = random.Random(3)
+    junk = [(900_000 + i, " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(60)), None, "a", 1) for i in range(20)]
+    both = docs.unionByName(spark.createDataFrame(junk, docs.schema))
+    kept = {r["doc_id"] for r in lang_id.keep_identified(both, lang_id.LangParams(sure_from=10)).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if re.search("[^\\W\\d_]", r["text"] or "")}
+
+
 def test_urls(spark):
     pages = [(1, None), (2, "no scheme net/"), (3, "http://a.NET?x"), (4, "https://m.example.net/en/1"), (5, "https://example.com/de/x#y"), (6, "http://x.org/fr/"), (7, "http://notnet/"), (8, "http://a.com/casino"), (9, "http://a.com/casinos"), (10, "http://free-pills.com/win"), (11, "http://a.com/free"), (12, "http://a\n.com/xxx")]
     df = spark.createDataFrame(pages, "page_id long, url string").withColumn("host", F.lit(1))
