@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from canopy.operators.preprocess import label_dictionary, number_or_zero, ordinal
 
 _ATTRIBUTE = re.compile(r"@attribute\s+('[^']*'|\S+)\s+(.*)", re.IGNORECASE)
-#: Lines of the header that are read, at most.
-HEADER_LINES = 100_000
 
 
 @dataclass(frozen=True)
@@ -52,7 +50,8 @@ def parse_header(lines: list[str]) -> ArffSchema:
 
 
 def read_header(spark: SparkSession, path: str) -> ArffSchema:
-    return parse_header([r["value"] for r in spark.read.text(path).where(F.trim("value").startswith("@") | F.trim("value").startswith("%")).limit(HEADER_LINES).collect()])
+    """The schema of a file, however many attributes it has; only its lines of declarations come to the driver."""
+    return parse_header([r["value"] for r in spark.read.text(path).where(F.trim("value").startswith("@")).collect()])
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
