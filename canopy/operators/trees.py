@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -17,6 +18,7 @@ class Learner(Protocol):
 
     def predict(self, x: np.ndarray) -> tuple[int | None, np.ndarray, int]: ...
     def train(self, x: np.ndarray, label: int, correct: bool) -> bool: ...
+    def frozen(self) -> list[tuple]: ...
     @property
     def accuracy(self) -> float: ...
 
@@ -117,6 +119,25 @@ class HoeffdingTree:
         return out
 
 
+def frozen(root: object, children: Callable[[object], tuple | None], votes: Callable[[list], list[float]]) -> list[tuple]:
+    """A tree as nodes of `scoring.NODE`; `children` tells feature, threshold and the two below, `votes` those of a path's leaf."""
+    out: list[tuple] = []
+    todo: list[tuple[list, int, int]] = [([root], -1, 0)]  # path, parent, side
+    while todo:
+        path, parent, side = todo.pop()
+        at, depth = len(out), len(path) - 1
+        if parent >= 0:
+            up = out[parent]
+            out[parent] = (*up[: 2 + side], at, *up[3 + side :])
+        if (below := children(path[-1])) is None:
+            out.append((0, 0.0, at, at, depth, votes(path)))
+        else:
+            feature, threshold, low, high = below
+            out.append((feature, threshold, -1, -1, depth, None))
+            todo += [([*path, high], at, 1), ([*path, low], at, 0)]
+    return out
+
+
 class HoeffdingLearner:
     """Online bagging around a tree; a background tree grows from a warning on and takes over at a drift."""
 
@@ -139,6 +160,9 @@ class HoeffdingLearner:
     def accuracy(self) -> float:
         return self.right / self.seen if self.seen else 0.0
 
+    def frozen(self) -> list[tuple]:
+        return frozen(self.tree.root, lambda n: (n.feature, n.threshold, n.low, n.high) if isinstance(n, _Branch) else None, lambda path: votes_of(path[-1].counts).tolist())
+
     def train(self, x: np.ndarray, label: int, correct: bool) -> bool:
         self.seen, self.right = self.seen + 1, self.right + correct
         k = int(self.rng.poisson(self.c.lambda_))
@@ -197,14 +221,22 @@ class MondrianLearner:
         if self.root is None:
             return None, np.zeros(0), 0
         path = self._path(x)
+        votes = self._votes(path)
+        return last_max(votes), votes, len(path) - 1
+
+    def _votes(self, path: list[_Cell]) -> np.ndarray:
         shares, rest = [], 1.0  # each node's part in the votes, and what is left for those below it
         for cell in path[:-1]:
             own = math.exp(min(0.0, cell.weight - cell.log_weight)) / 2 if cell.weight > cell.log_weight - 700 else 0.0
             shares.append(rest * own)
             rest *= 1 - own
         totals = np.array([cell.n for cell in path]) + self.alpha * self.n_classes
-        votes = (np.array([*shares, rest]) / totals) @ (np.array([cell.counts for cell in path]) + self.alpha)
-        return last_max(votes), votes, len(path) - 1
+        return (np.array([*shares, rest]) / totals) @ (np.array([cell.counts for cell in path]) + self.alpha)
+
+    def frozen(self) -> list[tuple]:
+        if self.root is None:
+            return [(0, 0.0, 0, 0, 0, [])]
+        return frozen(self.root, lambda c: (c.feature, c.threshold, *c.children) if c.children else None, lambda path: self._votes(path).tolist())
 
     def _update(self, cell: _Cell, x: np.ndarray, label: int, weigh: bool, outside: bool) -> None:
         if outside:

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from dataclasses import asdict, replace
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.operators.trees import TreeRunner
 from canopy.operators.voting import combine, results
-from canopy.plans.config import EnsembleConfig
+from canopy.plans.config import EnsembleConfig, HoeffdingConfig
+from canopy.sources.arff import read_arff
+from canopy.sources.runs import LOGS, append_benchmark
 
 #: Rows that a learner takes: instance_id long, features array<double>, label int (null: unlabelled).
 INSTANCE = "instance_id long, features array<double>, label int"
@@ -26,6 +29,11 @@ def fan_out(instances: DataFrame, n_trees: int) -> DataFrame:
     return instances.select(F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id"), "instance_id", "features", "label")
 
 
+def deal(instances: DataFrame, n_trees: int) -> DataFrame:
+    """Each tree's instances in a partition of its own, in order of id."""
+    return fan_out(instances, n_trees).repartitionById(n_trees, "tree_id").sortWithinPartitions("tree_id", "instance_id")
+
+
 def result_frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=_COLUMNS)
     for c in ("label", "predicted"):
@@ -49,8 +57,7 @@ def learn(instances: DataFrame, config: EnsembleConfig, n_features: int, n_class
                     runner = TreeRunner(config, int(tree_id), n_features, n_classes)
                 yield result_frame(step_rows(runner, own))
 
-    dealt = fan_out(instances, config.n_trees).repartitionById(config.n_trees, "tree_id").sortWithinPartitions("tree_id", "instance_id")
-    return dealt.mapInPandas(run, TREE_RESULT)
+    return deal(instances, config.n_trees).mapInPandas(run, TREE_RESULT)
 
 
 def shape(instances: DataFrame) -> tuple[int, int, int]:
@@ -70,17 +77,58 @@ def run_id(config: EnsembleConfig, now: datetime | None = None) -> str:
     return f"{name}_{config.algorithm.type}_{config.n_trees}_{config.voting}_{config.seed}_{(now or datetime.now()):%m%d_%H%M%S}"
 
 
+def resolved(config: EnsembleConfig, n_features: int) -> EnsembleConfig:
+    """The configuration with the share of features that a tree really takes."""
+    a = config.algorithm
+    if not isinstance(a, HoeffdingConfig) or n_features < 1:
+        return config
+    return replace(config, algorithm=replace(a, features_patch=a.subspace_size(n_features) / n_features))
+
+
+def log_row(spark: SparkSession, config: EnsembleConfig, own_id: str, seconds: float, n_instances: int) -> DataFrame:
+    """The run as a row of its family's log."""
+    flat = {k.rstrip("_"): v for k, v in asdict(config.algorithm).items()}
+    flat |= {"id": own_id, "n_threads": spark.sparkContext.defaultParallelism, "time": seconds, "n_instances": n_instances, "throughput": n_instances / max(seconds, 1e-9), "ensemble_type": flat.pop("type")}
+    flat |= {"dataset": config.dataset, "n_trees": config.n_trees, "voting": config.voting, "seed": config.seed}
+    schema = LOGS[family(config)]
+    told = ((flat[name], kind) for name, kind in map(str.split, schema.split(", ")))
+    return spark.createDataFrame([tuple(float(v) if kind == "double" and v is not None else v for v, kind in told)], schema)
+
+
+def family(config: EnsembleConfig) -> str:
+    return "amf" if config.algorithm.type == "amf" else "ht"
+
+
 def run(instances: DataFrame, config: EnsembleConfig, out_dir: str) -> DataFrame:
-    """Runs, writes results (one CSV file), the resolved configuration and a row of the run log; returns that row."""
+    """Runs, writes results (CSV, in parts), the resolved configuration and a row of the run log; returns that row."""
     spark, own_id = instances.sparkSession, run_id(config)
-    n_instances, began = instances.count(), time.perf_counter()
-    prequential(instances, config).coalesce(1).write.option("header", True).csv(f"{out_dir}/{own_id}/accuracy")
+    n_features, n_classes, n_instances = shape(instances)
+    config, began = resolved(config, n_features), time.perf_counter()
+    told = learn(instances, config, n_features, max(1, n_classes))
+    results(combine(told, config.voting, max(1, n_classes), config.n_trees)).write.option("header", True).csv(f"{out_dir}/{own_id}/accuracy")
     seconds = time.perf_counter() - began
     spark.createDataFrame([(config.to_json(),)], "value string").coalesce(1).write.text(f"{out_dir}/{own_id}/config")
-    log = spark.createDataFrame(
-        [(own_id, spark.sparkContext.defaultParallelism, seconds, n_instances, n_instances / max(seconds, 1e-9), config.dataset, config.n_trees, config.voting, config.seed, config.algorithm.type)],
-        "id string, n_threads int, time double, n_instances long, throughput double, dataset string, n_trees int, voting string, seed int, ensemble_type string",
-    )
-    family = "amf" if config.algorithm.type == "amf" else "ht"
-    log.coalesce(1).write.mode("append").option("header", True).csv(f"{out_dir}/master_log_{family}")
+    log = log_row(spark, config, own_id, seconds, n_instances)
+    log.coalesce(1).write.mode("append").option("header", True).csv(f"{out_dir}/master_log_{family(config)}")
     return log
+
+
+def read_config(spark: SparkSession, path: str) -> EnsembleConfig:
+    return EnsembleConfig.from_json(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def execute(spark: SparkSession, config_path: str, data_dir: str, out_dir: str) -> DataFrame:
+    """A whole run from a configuration file: the dataset is the ARFF file of its name."""
+    config = read_config(spark, config_path)
+    return run(read_arff(spark, f"{data_dir}/{config.dataset}.arff"), config, out_dir)
+
+
+def run_seeds(instances: DataFrame, config: EnsembleConfig, seeds: list[int], out_dir: str) -> None:
+    """Runs once for each seed and adds its throughput and accuracy to the benchmark table."""
+    n_features, n_classes, n_instances = shape(instances)
+    for seed in seeds:
+        began = time.perf_counter()
+        told = learn(instances, replace(config, seed=seed), n_features, max(1, n_classes))
+        accuracy = results(combine(told, config.voting, max(1, n_classes), config.n_trees)).agg(F.avg(F.col("is_correct").cast("double"))).first()[0]
+        seconds = time.perf_counter() - began
+        append_benchmark(instances.sparkSession, [(config.dataset, n_instances / max(seconds, 1e-9), accuracy, config.n_trees, seed)], out_dir)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import exprs as X
-from canopy.operators import metrics, preprocess, voting
+from canopy.operators import metrics, preprocess, scoring, voting
 from canopy.plans import prequential as P
 from canopy.plans.config import EnsembleConfig, HoeffdingConfig, MondrianConfig
 from canopy.sources.tables import EVENT_TYPES, event_instances, table
@@ -318,8 +318,36 @@ def mondrian_leaf_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN value <= 50 THEN CASE WHEN user_id <= 100 THEN 3 ELSE 4 END ELSE 2 END AS leaf, CASE WHEN value <= 50 THEN 2 ELSE 1 END AS depth FROM events")
 def frozen_tree_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low, inner = F.col("value") <= 50, F.when(F.col("user_id") <= 100, 3).otherwise(4)
-    return _events(spark, sf_dir).select("event_id", F.when(low, inner).otherwise(2).alias("leaf"), F.when(low, 2).otherwise(1).alias("depth"))
+    tree = [scoring.branch(0, 50, 1, 2, 0), scoring.branch(1, 100, 3, 4, 1), scoring.leaf(2, 1), scoring.leaf(3, 2), scoring.leaf(4, 2)]
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("instance_id"), F.array("value", F.col("user_id").cast("double")).alias("features"), F.lit(None).cast("int").alias("label"))
+    return scoring.leaves(rows, [(0, tree)]).select(F.col("instance_id").alias("event_id"), "leaf", "depth")
+
+
+def _shapes() -> list[tuple]:
+    """Three trees that split values at 20, 50 and 80, the upper part by user at 100 and the lower one by hour at 12."""
+    b, lf = scoring.branch, scoring.leaf
+    return [(t, [b(0, 20.0 + 30 * t, 1, 2, 0), b(2, 12.0, 3, 4, 1), b(1, 100.0, 5, 6, 1), *(lf(i, 2) for i in range(3, 7))]) for t in range(3)]
+
+
+_LEAF = "CASE WHEN coalesce(value, 0) <= 20 + 30 * tree_id THEN CASE WHEN coalesce(hour(ts), 0) <= 12 THEN 3 ELSE 4 END ELSE CASE WHEN coalesce(user_id, 0) <= 100 THEN 5 ELSE 6 END END"
+
+
+@query(f"""WITH at_ AS (SELECT event_id, {_LABEL} AS label, tree_id, {_LEAF} AS leaf FROM events, (SELECT unnest(range(3)) AS tree_id) t),
+votes AS (SELECT tree_id, leaf, {", ".join(f"CAST(count(*) FILTER (label = {c}) AS DOUBLE) / count(*) AS v{c}" for c in range(5))} FROM at_ WHERE label IS NOT NULL GROUP BY 1, 2)
+SELECT event_id, {", ".join(f"round(sum(coalesce(v{c}, 0.2)), 6) AS v{c}" for c in range(5))}, 2.0::DOUBLE AS avg_depth FROM at_ LEFT JOIN votes USING (tree_id, leaf) GROUP BY 1""")
+def refitted_forest_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frozen forest whose leaves take their votes from all events, and its soft votes for each."""
+    rows = event_instances(spark, sf_dir)
+    told = scoring.score(rows, scoring.refit(rows, _shapes(), len(EVENT_TYPES)), len(EVENT_TYPES))
+    return told.select(F.col("instance_id").alias("event_id"), *(_r(F.get("combined", F.lit(c))).alias(f"v{c}") for c in range(5)), "avg_depth")
+
+
+@query()
+def mondrian_forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mondrian trees learned from all events, then frozen and asked about each event by column expressions."""
+    rows, config = event_instances(spark, sf_dir), EnsembleConfig("events", 3, 0, MondrianConfig(), "soft")
+    told = scoring.score_forest(rows, scoring.fit(rows, config, 4, len(EVENT_TYPES)), len(EVENT_TYPES))
+    return told.select("instance_id", "winner", *(_r(F.get("combined", F.lit(c))).alias(f"v{c}") for c in range(5)), "avg_depth")
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, round(greatest(a, b) + ln((1 + exp(least(a, b) - greatest(a, b))) / 2), 6) AS log_weight FROM (SELECT *, -l_quantity / 10 AS a, -l_discount * 20 AS b FROM lineitem)")

@@ -2,7 +2,7 @@
 
 Dense and sparse rows, `%` comments, blank lines, keywords in any case, single-quoted attribute names, and `.gz` by suffix.  Attributes
 in braces are categorical, all others numeric; the last one is the label.  A number that can't be read is 0, an unknown category has
-ordinal 0, a `?` label is null; labels get ids by first appearance.  Rows with too few columns go, and `corrupt_rows` gives them.
+ordinal 0, both are null with `missing="null"`, a `?` label is null; labels get ids by first appearance.  Rows with too few columns go, and `corrupt_rows` gives them.
 Row ids follow the order of lines within a file and of files by name.
 """
 
@@ -85,13 +85,19 @@ def corrupt_rows(spark: SparkSession, path: str) -> DataFrame:
     return _cells(spark, path, schema).where(F.size("cells") < len(schema.attributes)).select("line")
 
 
-def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    """instance_id, features, label (null where `?`), raw_label."""
+def read_arff(spark: SparkSession, path: str, missing: str = "zero") -> DataFrame:
+    """instance_id, features, label (null where `?`), raw_label.  With `missing="null"` what can't be read is a null feature."""
+    if missing not in ("zero", "null"):
+        raise ValueError(f"unknown way with missing values {missing!r}")
     schema = read_header(spark, path)
     rows = _cells(spark, path, schema).where(F.size("cells") >= len(schema.attributes))
     values = []
     for i, a in enumerate(schema.features):
         cell = F.element_at("cells", i + 1)
+        if missing == "null":
+            known = F.array_position(F.lit(list(a.categories)), cell) - 1 if a.categories is not None else cell.try_cast("double")
+            values.append(F.when(known >= 0, known.cast("double")) if a.categories is not None else known)
+            continue
         values.append(ordinal(cell, list(a.categories)) if a.categories is not None else number_or_zero(cell))
     label = F.element_at("cells", len(schema.attributes))
     rows = rows.select("_at", F.array(*values).alias("features"), F.when(label != "?", label).alias("raw_label"))
