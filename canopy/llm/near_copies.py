@@ -6,7 +6,9 @@ Similar pairs differ in up to 11 bits and more, which no index reaches that prun
 fingerprints miss, between texts that are not in one component yet: a prefix filter.  With all shingles in one fixed order, two sets
 that are similar enough share one among the first `n - ceil(0.8 n) + 1` of each, at places that leave room for the common shingles they
 The order puts shingles that are frequent in a sample last; it decides the cost and not the result.  A pair whose prefixes share
-`c` shingles has `c` and the rest of one set in common at most, which rules out nearly all that only share a passage; what is left is verified.
+`c` shingles has `c` and the rest of one set in common at most, which rules out nearly all that only share a passage; and two sets differ in
+as many shingles at least as their parities do in bits (a bit tells whether a set has an odd number of the shingles that hash to it),
+which rules out nearly all edited copies of one text that are too far from each other.  What is left is verified.
 Before that, texts with the same smallest hash (of three) are held against those among them that have most shingles of the frequent,
 which edited copies are most like, so that a large cluster of near copies is mostly one component by then and costs few pairs.  Texts of fewer than five words are one shingle.
 
@@ -78,6 +80,17 @@ def smallest(hashes: np.ndarray) -> np.ndarray:
     return np.array([((hashes ^ np.uint64(k)) * _FACTOR).min() for k in (0x5BD1E995, 0x1B873593 << 20, 0x27D4EB2F << 32)], np.uint64).view(np.int64)
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """1024 bits: whether an odd number of some hashes start with each value of ten bits."""
+    return np.packbits(np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=1024) % 2 == 1).tobytes()
+
+
+def bits_apart(a: pa.BinaryArray, b: pa.BinaryArray) -> np.ndarray:
+    """The numbers of bits in which parities differ; their sets differ in as many hashes at least."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, 16) for c in (a, b))
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common >= least * (len(a) + len(b) - common) - 1e-9
@@ -97,7 +110,7 @@ def _frequent(docs: DataFrame, p: NearCopyParams) -> tuple[np.ndarray, np.ndarra
     return hashes[at], counts[at]
 
 
-_FEATURES = ("__canopy_set", "__canopy_n", "__canopy_fp", "__canopy_smallest", "__canopy_common", "__canopy_prefix")
+_FEATURES = ("__canopy_set", "__canopy_n", "__canopy_fp", "__canopy_smallest", "__canopy_common", "__canopy_prefix", "__canopy_parity")
 
 
 def _featured(docs: DataFrame, p: NearCopyParams) -> DataFrame:
@@ -119,10 +132,10 @@ def _featured(docs: DataFrame, p: NearCopyParams) -> DataFrame:
                 common.append(float(np.count_nonzero(weight)) / max(1, len(own)))
                 first = len(own) - math.ceil(p.similarity * len(own) - 1e-9) + 1 if len(own) else 0
                 firsts.append(own[np.lexsort((own, weight))[:first]].tobytes())
-            made = [pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([simhash(x) for x in sets], pa.int64()), pa.array([smallest(x) for x in sets], pa.list_(pa.int64())), pa.array(common), pa.array(firsts, pa.binary())]
+            made = [pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([simhash(x) for x in sets], pa.int64()), pa.array([smallest(x) for x in sets], pa.list_(pa.int64())), pa.array(common), pa.array(firsts, pa.binary()), pa.array([parity(x) for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *_FEATURES])
 
-    schema = StructType([*rows.schema.fields, *StructType.fromDDL("__canopy_set binary, __canopy_n long, __canopy_fp long, __canopy_smallest array<bigint>, __canopy_common double, __canopy_prefix binary").fields])
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL("__canopy_set binary, __canopy_n long, __canopy_fp long, __canopy_smallest array<bigint>, __canopy_common double, __canopy_prefix binary, __canopy_parity binary").fields])
     return staged(rows.mapInArrow(run, schema))
 
 
@@ -188,20 +201,22 @@ def _pairs(p: NearCopyParams):  # noqa: ANN202
 
 
 def _could(pairs: DataFrame, reps: DataFrame, p: NearCopyParams) -> DataFrame:
-    """The pairs (a, b) whose common shingles, those of their prefixes and one set's rest at most, can be enough."""
+    """The pairs (a, b) whose parities and whose common shingles, those of their prefixes and one set's rest at most, allow similarity."""
     pairs = staged(pairs.distinct())
     for c in ("a", "b"):
-        pairs = pairs.join(reps.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"prefix_{c}")), c)
+        pairs = pairs.join(reps.select(F.col("row").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "parity", "prefix"))), c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 4):
+        for batch in text_slices(batches, 6):
+            most = sum(np.asarray(batch.column(c)) for c in (2, 3)) - 2 * least_common(*(np.asarray(batch.column(c)) for c in (2, 3)), p.similarity)
+            batch = batch.filter(pa.array(bits_apart(batch.column(4), batch.column(5)) <= most))
             sizes = [np.asarray(batch.column(c)) for c in (2, 3)]
-            both = zip(*([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(c)] for c in (4, 5)), strict=True)
+            both = zip(*([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(c)] for c in (6, 7)), strict=True)
             common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in both], np.int64)
             rest = np.maximum(*(np.ceil(p.similarity * n - 1e-9) - 1 for n in sizes))
             yield batch.select(["a", "b"]).filter(pa.array(common + rest >= least_common(*sizes, p.similarity)))
 
-    return pairs.select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "parity_a", "parity_b", "prefix_a", "prefix_b").mapInArrow(run, "a long, b long")
 
 
 def _starred(reps: DataFrame, p: NearCopyParams, seed: int, hubs: int) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -399,6 +400,18 @@ def test_near_copies_by_brute_force(spark, docs):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in stage(spark, frame, SMALL).collect()) == wanted
 
 
+def test_parities_differ_in_no_more_bits_than_sets_in_hashes():
+    rng, pairs = np.random.default_rng(5), []
+    for n, own in [(0, 0), (0, 3), (1, 1), (146, 10), (146, 60), (2000, 900), (5000, 5000)]:
+        common = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+        pairs.append([np.unique(np.concatenate((common, rng.integers(0, 2**63, own).astype(np.uint64) * np.uint64(2) + np.uint64(1)))) for _ in range(2)])
+    columns = [pa.array([near_copies.parity(x[k]) for x in pairs], pa.binary()) for k in (0, 1)]
+    apart = near_copies.bits_apart(*columns)
+    assert all(a <= len(np.setxor1d(x, y)) for a, (x, y) in zip(apart, pairs, strict=True))
+    assert apart[0] == 0 and apart[4] > 80
+    assert len(near_copies.bits_apart(columns[0][:0], columns[1][:0])) == 0
+
+
 def test_contamination_of_items_edited_at_each_place(spark):
     rng = random.Random(11)
     common = [f"c{i}" for i in range(30)]
