@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopy.llm import ann_join, decontaminate, lang_id, lm_score, mixing, quality_pu, secret_scan, simhash_dedup, toxicity, url_filter
+from canopy.llm import ann_join, decontaminate, lang_id, lm_score, merkle, mixing, outliers, quality_pu, secret_scan, simhash_dedup, toxicity, url_filter, whitening
 from canopy.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,9 +69,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_lm_score, op2_language_id, op3_decontaminate, op4_url_filter, op5_secret_scan, op6_quality, op7_mixing, op8_simhash_dedup, op9_ann_search, op10_toxicity, pipeline]
+    found = [op1_lm_score, op2_language_id, op3_decontaminate, op4_url_filter, op5_secret_scan, op6_quality, op7_mixing, op8_simhash_dedup, op9_ann_search, op10_toxicity, op11_merkle, op12_outliers, op13_whitening, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.oracle_sql(), "op9_ann_search": ann_join.oracle_sql()}
+    return {"op4_url_filter": url_filter.oracle_sql(), "op9_ann_search": ann_join.oracle_sql(), "op11_merkle": merkle.oracle_sql(), "op12_outliers": outliers.oracle_sql()}
