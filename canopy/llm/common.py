@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -87,6 +88,13 @@ def from_binaries(column: pa.BinaryArray, kind: str) -> tuple[np.ndarray, np.nda
     return flat, np.diff(ends) // width
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str | int, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded text, one row at least."""
     for batch in batches:
@@ -97,7 +105,17 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str | int, most_bytes
             stop = max(start + 1, int(np.searchsorted(ends, done + most_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
-    pa.default_memory_pool().release_unused()  # workers live on
+    give_back()
+
+
+def plainly_named(docs: DataFrame, *needed: str) -> DataFrame:
+    """The same rows with plain names for all columns but those needed, so that any names may come in; `named_again` undoes it."""
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    return docs.select(*(F.col(quoted(c)).alias(c if c in needed else f"_c{i}") for i, c in enumerate(docs.columns)))
+
+
+def named_again(rows: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    return rows.select(*(F.col(c if c in needed else f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def fold(key: str, modulus: int) -> Column:

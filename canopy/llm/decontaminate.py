@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import text_slices
+from canopy.llm.common import named_again, plainly_named, text_slices
 
 TERM = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
@@ -301,7 +301,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, p: DecontaminationPara
 def drop_contaminated(docs: DataFrame, items: DataFrame, p: DecontaminationParams | None = None) -> DataFrame:
     """The rows in which no item is found; all columns stay."""
     p = p or DecontaminationParams()
-    at = docs.columns.index("text")
+    at, rows = docs.columns.index("text"), plainly_named(docs, "text")
     for indexes in build_indexes(items, p):
         sent = docs.sparkSession.sparkContext.broadcast(indexes)
 
@@ -313,5 +313,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, p: DecontaminationParam
                     clean[[x[0] for x in index.hits(texts)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        rows = rows.mapInArrow(run, rows.schema)
+    return named_again(rows, docs, "text")

@@ -179,7 +179,7 @@ def keep_identified(docs: DataFrame, p: LangParams | None = None) -> DataFrame:
     """The rows whose text is in a learned language: one with a letter and, if it is long enough to tell, a prototype that is near.  All columns stay."""
     p = p or LangParams()
     names = docs.columns
-    inner = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)), F.col("text"))
+    inner = docs.select(*(F.col("`" + c.replace("`", "``") + "`").alias(f"_c{i}") for i, c in enumerate(names)), F.col("text"))
     held = fold("doc_id", p.folds) == p.held_fold
     learned = learn_prototypes(docs.where(~held & F.col("lang").isNotNull()), p)
     found = classify(inner, learned, p, [f"_c{i}" for i in range(len(names))])

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from canopy.llm.common import binaries, fold, from_binaries, staged, sums_by, text_slices, tokenise
 
 END = "\n"  # never a word, as words hold no white space
+#: A text's id has 24 bits for its partition, so many for the chunk in it, and so many for the text, of which each takes 4 bytes of a chunk at least.
+CHUNK_BITS, TEXT_BITS = 17, 22
 
 
 @dataclass(frozen=True)
@@ -105,7 +107,7 @@ def split_texts(rows: DataFrame, p: LmParams) -> DataFrame:
     """Texts of (doc_id, held_out, text) as numbers of words, many texts in a row, with the words and their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 24
+        first = TaskContext.get().partitionId() << CHUNK_BITS
         for k, batch in enumerate(_chunked(batches, p.chunk)):
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
             found = tokenise(batch.column("text"))
@@ -187,7 +189,7 @@ def encode(chunks: DataFrame, vocabulary: Vocabulary, doc_id_type: str) -> DataF
                 keys, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes)[rare] * len(words) + ids[rare], return_counts=True)
                 pairs = pa.StructArray.from_arrays([words.take(pa.array(keys % max(1, len(words)))), pa.array(tf, pa.int64())], names=["token", "tf"])
                 starts = np.searchsorted(keys, np.arange(len(sizes) + 1) * len(words))
-                made = {"rid": (batch.column("chunk")[k].as_py() << 24) + np.arange(len(sizes)), "doc_id": batch.column("doc_id")[k].values, "held_out": batch.column("held_out")[k].values, "n_tokens": n_tokens}
+                made = {"rid": (batch.column("chunk")[k].as_py() << TEXT_BITS) + np.arange(len(sizes)), "doc_id": batch.column("doc_id")[k].values, "held_out": batch.column("held_out")[k].values, "n_tokens": n_tokens}
                 made |= {"known": sums_by(w_seen[ids], sizes) + int(v.counts[end] > 0), "base": sums_by(w_logs[ids], sizes) + log_n[end] - n_tokens * divisor, "inside": sums_by(w_inside[ids], sizes) + inside[end]}
                 yield pa.RecordBatch.from_pydict(made | {"classes": binaries(classes, n_tokens), "rare": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pairs)})
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from canopy.llm.common import is_small, staged, text_slices, tokenise
+from canopy.llm.common import is_small, named_again, plainly_named, staged, text_slices, tokenise
 
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -338,4 +338,5 @@ def margins(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
 
 def sample_documents(docs: DataFrame, p: MixParams | None = None) -> DataFrame:
     """The selected rows; all columns stay."""
-    return mix(docs, p).where("__mix_selected").select(*docs.columns)
+    needed = ("doc_id", "source", "lang", "text")
+    return named_again(mix(plainly_named(docs, *needed), p).where("__mix_selected"), docs, *needed)

@@ -5,7 +5,7 @@ of the sets are linked by the Gray-order index at two bits or fewer, and links w
 Similar pairs differ in up to 11 bits and more, which no index reaches that prunes, so an exact search follows for the links that
 fingerprints miss, between texts that are not in one component yet: a prefix filter.  With all shingles in one fixed order, two sets
 that are similar enough share one among the first `n - ceil(0.8 n) + 1` of each, at places that leave room for the common shingles they
-The order puts shingles that are frequent in a sample last; it decides the cost and not the result.  A pair whose prefixes share
+need.  The order puts shingles that are frequent in a sample last; it decides the cost and not the result.  A pair whose prefixes share
 `c` shingles has `c` and the rest of one set in common at most, which rules out nearly all that only share a passage; and two sets differ in
 as many shingles at least as their parities do in bits (a bit tells whether a set has an odd number of the shingles that hash to it),
 which rules out nearly all edited copies of one text that are too far from each other.  What is left is verified.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from canopy.llm.common import from_binaries, small_or_plain, staged, text_slices, tokenise, with_row_id
+from canopy.llm.common import from_binaries, named_again, plainly_named, small_or_plain, staged, text_slices, tokenise, with_row_id
 from canopy.llm.components import connected_components
 from canopy.llm.simhash_dedup import SimHashParams, link_fingerprints
 
@@ -293,6 +293,7 @@ def _copies(made: DataFrame, p: NearCopyParams) -> DataFrame:
 def drop_near_copies(docs: DataFrame, p: NearCopyParams | None = None) -> DataFrame:
     """One row of each component of near copies, the one of smallest doc_id; all columns stay."""
     p = p or NearCopyParams()
-    made = _featured(docs, p)
+    made = _featured(plainly_named(docs, "doc_id", "text"), p)
     dropped = staged(_copies(made, p).select(F.col("row").alias("__canopy_dropped")))
-    return made.join(small_or_plain(dropped, 200_000), F.col("__canopy_row") == F.col("__canopy_dropped"), "left_anti").select(*docs.columns)
+    kept = made.join(small_or_plain(dropped, 200_000), F.col("__canopy_row") == F.col("__canopy_dropped"), "left_anti")
+    return named_again(kept, docs, "doc_id", "text")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import staged
+from canopy.llm.common import named_again, plainly_named, staged, text_slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -241,7 +241,9 @@ def redact(docs: DataFrame, p: SecretParams | None = None, mark: str = "[secret]
     """The rows with each secret's span, overlapping ones together, replaced by a mark in column text; n_chars, if there is one, follows; other columns stay."""
     p = p or SecretParams()
     limits = discovery_limits(docs, p)
-    at, fields = docs.columns.index("text"), docs.schema
+    needed = ("text", "n_chars")
+    rows = plainly_named(docs, *needed)
+    at, fields = rows.columns.index("text"), rows.schema
 
     def clean(text: str | None) -> str | None:
         spans, candidates = scan(text, p)
@@ -256,9 +258,11 @@ def redact(docs: DataFrame, p: SecretParams | None = None, mark: str = "[secret]
         return "".join([*out, text[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, at):
             texts = pa.array([clean(t.as_py()) for t in batch.column(at)], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), texts)
 
-    made = docs.mapInArrow(run, fields)
-    return made.withColumn("n_chars", F.length("text").cast(fields["n_chars"].dataType)) if "n_chars" in docs.columns else made
+    made = rows.mapInArrow(run, fields)
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.length("text").cast(fields["n_chars"].dataType))
+    return named_again(made, docs, *needed)

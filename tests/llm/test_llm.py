@@ -459,3 +459,23 @@ def test_sample_meets_margins(spark):
     kept = mixing.mixed_documents(frame, p).where("selected").groupBy("source").agg(F.sum("n_tokens").alias("n")).toPandas()
     want = found[found.dimension == "source"].set_index("key").target
     assert [n / kept.n.sum() for n in kept.n] == pytest.approx([want[f"={s}"] for s in kept.source], rel=0.2)
+
+
+def test_stages_take_any_column_names(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "a.b", "__canopy_row", "__mix_weight", "_c0", "b`c", "row", "token"]
+    text = lambda i: " ".join(f"w{(i * 31 + k * k) % 97}x{k % 5}" for k in range(40))
+    rows = [(i, text(i % 6) + (" password: hunter2secret" if i == 7 else ""), "en", "a", 1, 5, 777, "y", "z", "q", 1, "t") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, __canopy_row int, __mix_weight string, _c0 string, `b``c` string, row int, token string")
+    for stage in (near_copies.drop_near_copies, mixing.sample_documents, secret_scan.redact, lang_id.keep_identified, lambda d: decontaminate.drop_contaminated(d, spark.createDataFrame([(1, text(3))], "item_id long, text string"))):
+        out = stage(docs)
+        assert out.columns == names
+        got = [r.asDict() for r in out.collect()]
+        assert got and {r["doc_id"] for r in got} <= set(range(12))
+        assert all((r["a.b"], r["__canopy_row"], r["__mix_weight"], r["_c0"], r["b`c"], r["row"], r["token"]) == (5, 777, "y", "z", "q", 1, "t") for r in got)
+    assert {r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()} >= set(range(6))
+
+
+def test_text_ids_fit_a_long_at_any_partition():
+    last = ((((1 << 24) - 1 << lm_score.CHUNK_BITS) + (1 << lm_score.CHUNK_BITS) - 1) << lm_score.TEXT_BITS) + (1 << lm_score.TEXT_BITS) - 1
+    assert last == 2**63 - 1 and 40_000 < 1 << 24 and lm_score.LmParams().chunk // 4 < 1 << lm_score.TEXT_BITS
+    assert len({(p << lm_score.CHUNK_BITS) + k for p in (0, 1, 40_000) for k in (0, 1, 5)}) == 9
