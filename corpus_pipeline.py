@@ -10,12 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from canopy.llm import decontaminate, lang_id, mixing, near_copies, secret_scan
 from canopy.llm.common import staged, table
 
+#: Rows that go to Python at once: with texts of some kilobytes, Spark's 10,000 would be tens of megabytes on both sides.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's rows in a batch, unless they are fewer already."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no learned language: null texts, texts without a letter, long ones that no prototype is near; all, if nothing can be learned.
 
     Equal texts share their fate; a null lang isn't learned from.
     """
+    bounded(spark)
     return lang_id.keep_identified(docs)
 
 
@@ -24,21 +35,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A null id counts as the largest; of repeated rows one stays.  All texts without words are copies of each other.
     """
+    bounded(spark)
     return near_copies.drop_near_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item; null and empty texts, and such items, hold and match nothing."""
+    bounded(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in texts by a mark and sets n_chars anew; null texts stay null, no row goes."""
+    bounded(spark)
     return secret_scan.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents by source, language and topic; a null is a value of its own, repeated ids share their fate."""
+    bounded(spark)
     return mixing.sample_documents(docs)
 
 
