@@ -35,7 +35,7 @@ def deviation(weight: Column, m2: Column) -> Column:
 def gaussian_pdf(x: Column, weight: Column, mean: Column, m2: Column) -> Column:
     s = deviation(weight, m2)
     density = F.exp(-(x - mean) * (x - mean) / (_d(2) * s * s)) / (s * F.sqrt(_d(2) * F.pi()))
-    point = F.when(x == mean, _d(1)).otherwise(_d(0))
+    point = F.when(F.abs(x - mean) < 1e-10, _d(1)).otherwise(_d(0))
     return F.when(weight <= 1, _d(0)).when(s < 1e-10, point).otherwise(density)
 
 

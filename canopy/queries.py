@@ -10,8 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from canopy.functions import draws
 from canopy.functions import exprs as X
-from canopy.operators import metrics, preprocess, scoring, voting
+from canopy.operators import histograms, metrics, preprocess, scoring, voting, windows
+from canopy.plans import blocks
 from canopy.plans import prequential as P
 from canopy.plans.config import EnsembleConfig, HoeffdingConfig, MondrianConfig
 from canopy.sources.tables import EVENT_TYPES, event_instances, table
@@ -424,6 +426,126 @@ def histogram_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInPandas(run, "user_id long, bin int, mean double, weights array<double>")
 
 
+#: Ends of 20 blocks of 32 ticks, whatever the ids are.
+_ENDS = list(range(32, 641, 32))
+_TICK = "(event_id - lo) * 640 {div} (hi - lo + 1)"
+_OVER_50 = "CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS DOUBLE)"
+_TICKS = f"SELECT event_type, {_TICK.format(div='//')} AS tick, count(*) AS n, {_OVER_50} AS s FROM events, (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events) e WHERE event_type IS NOT NULL GROUP BY 1, 2"
+
+
+@query(f"SELECT * REPLACE (round(mean, 6) AS mean) FROM ({windows.oracle_sql(_TICKS, 'event_type', 0.002, _ENDS)})")
+def adaptive_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over how often each type's values exceed 50, tested after each of 20 blocks; no type's events meet in one task."""
+    events = _events(spark, sf_dir)
+    ends = events.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    rows = events.where("event_type IS NOT NULL").crossJoin(F.broadcast(ends))  # one row
+    ticks = rows.groupBy("event_type", F.expr(_TICK.format(div="div")).alias("tick")).agg(F.count("*").alias("n"), F.expr(_OVER_50).alias("s"))
+    return windows.adaptive_windows(ticks, ["event_type"], 0.002, _ENDS).withColumn("mean", _r("mean"))
+
+
+_HIST = histograms.HistogramParams(bins=32)
+_FLAG = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END"
+_HIST_CTE = histograms.oracle_cte(f"SELECT l_linestatus, l_extendedprice AS x, {_FLAG} AS label, CAST(1 AS DOUBLE) AS w FROM lineitem", "l_linestatus", _HIST)
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_linestatus", "l_extendedprice", F.expr(_FLAG).alias("flag"))
+
+
+@query(f"WITH {_HIST_CTE} SELECT l_linestatus, CAST(bin AS INTEGER) AS bin, min(x) AS low, max(x) AS high, round(sum(x) / sum(w), 4) AS mean, {', '.join(f'CAST(count(*) FILTER (label = {c}) AS DOUBLE) AS w{c}' for c in range(3))} FROM bins GROUP BY l_linestatus, bin")
+def histogram_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of about equal weight of the prices of each line status, with weights by return flag."""
+    rows = histograms.histograms(_priced(spark, sf_dir), ["l_linestatus"], "l_extendedprice", "flag", 3, _HIST)
+    return rows.select("l_linestatus", "bin", "low", "high", F.round("mean", 4).alias("mean"), *(F.get("weights", F.lit(c)).alias(f"w{c}") for c in range(3)))
+
+
+@query(f"""WITH {_HIST_CTE}, edges AS (SELECT l_linestatus, bin, (max(x) + lead(min(x)) OVER (PARTITION BY l_linestatus ORDER BY bin)) / 2 AS point FROM bins GROUP BY l_linestatus, bin),
+counts AS (SELECT l_linestatus, bin, label, CAST(count(*) AS DOUBLE) AS n FROM bins GROUP BY ALL),
+sides AS (SELECT e.l_linestatus, e.bin, e.point, b.label, sum(CASE WHEN b.bin <= e.bin THEN n ELSE 0 END) AS l, sum(CASE WHEN b.bin > e.bin THEN n ELSE 0 END) AS r FROM edges e JOIN counts b USING (l_linestatus) WHERE point IS NOT NULL GROUP BY ALL),
+tot AS (SELECT *, sum(l) OVER o AS nl, sum(r) OVER o AS nr, sum(l + r) OVER o AS n FROM sides WINDOW o AS (PARTITION BY l_linestatus, bin)),
+ents AS (SELECT l_linestatus, bin, max(point) AS point, sum(-(l + r) / n * log2((l + r) / n)) AS h, max(nl) / max(n) * sum(CASE WHEN l > 0 THEN -l / nl * log2(l / nl) ELSE 0 END) AS hl, max(nr) / max(n) * sum(CASE WHEN r > 0 THEN -r / nr * log2(r / nr) ELSE 0 END) AS hr FROM tot GROUP BY 1, 2)
+SELECT l_linestatus, bin, round(point, 4) AS point, round(h - hl - hr, 6) AS gain FROM ents""")
+def histogram_split_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a split of the prices after each bin would tell about the return flag."""
+    keys = ["l_linestatus"]
+    bins = histograms.binned(histograms.cells(_priced(spark, sf_dir), keys, "l_extendedprice", "flag", F.lit(1.0), _HIST), keys, _HIST)
+    return histograms.split_gains(bins, keys).select("l_linestatus", F.col("bin").cast("long").alias("bin"), F.round("point", 4).alias("point"), _r("gain").alias("gain"))
+
+
+_U5 = draws.uniform_sql("event_id", "tree_id", 5)
+_INSIDE = [f"{draws.subset_sql(5, 3, 'event_id', 9, str(i))} AS has{i}" for i in range(5)]
+
+
+@query(f"SELECT event_id, tree_id, round(u, 9) AS u, {draws.poisson_sql('u', 6.0)} AS k, round(-ln(1.0 - u) / 2.0, 6) AS wait, least(CAST(u * 6 >= 1 AS INT) + CAST(u * 6 >= 3 AS INT) + CAST(u * 6 >= 6 AS INT), 2) AS place, {', '.join(_INSIDE)} FROM (SELECT event_id, tree_id, {_U5} AS u FROM events, (SELECT CAST(unnest(range(3)) AS INTEGER) AS tree_id) t)")
+def counter_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws of each event and tree: uniform, Poisson, exponential, one of three weighted places, and three of five numbers for the event."""
+    rows = _events(spark, sf_dir).select("event_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("tree_id")).withColumn("u", draws.uniform_column("event_id", "tree_id", 5))
+    u, weights = F.col("u"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    told = [F.round("u", 9).alias("u"), F.expr(draws.poisson_sql("u", 6.0)).alias("k"), _r(draws.exponential(u, F.lit(2.0))).alias("wait"), draws.discrete(u, weights).alias("place")]
+    return rows.select("event_id", "tree_id", *told, *map(F.expr, _INSIDE))
+
+
+def _block_config(kind: str) -> EnsembleConfig:
+    """Random patches split their roots after one block of these labels; the adaptive forest asks for more, so its roots vote by naive Bayes."""
+    strict = {"delta": 1e-7, "tau": 1e-4} if kind == "arf" else {}
+    return EnsembleConfig("events", 10, 0, HoeffdingConfig(kind, drift_detection=False, numeric_estimator="gaussian", **strict), "soft")
+
+
+def _block(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Trees learned from the first half of the events as one block; both halves are predicted before they are learned."""
+        rows = event_instances(spark, sf_dir)
+        low, high = rows.agg(F.min("instance_id"), F.max("instance_id")).first()
+        ends = [] if low is None else [(low, low + (high - low + 1) // 2), (low + (high - low + 1) // 2, high + 1)]
+        return blocks.prequential_blocks(rows, _block_config(kind), ends=ends).withColumn("avg_depth", _r("avg_depth"))
+
+    return run
+
+
+def _block_sql(kind: str) -> str:
+    c = _block_config(kind)
+    a, shares = c.algorithm, lambda side: f"CASE WHEN list_sum({side}) > 0 THEN [x / list_sum({side}) FOR x IN {side}] ELSE [0.2, 0.2, 0.2, 0.2, 0.2] END"
+    term = lambda x, n: f"CASE WHEN {x} > 0 THEN -({x}) / ({n}) * log2(({x}) / ({n})) ELSE 0 END"
+    t = "(1 / (1 + 0.3275911 * abs(z)))"
+    erf = f"(sign(z) * (1 - exp(-z*z) * ({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))))))"
+    return f"""WITH inst AS (SELECT event_id AS id, [coalesce(CAST(value AS DOUBLE), 0), coalesce(CAST(user_id AS DOUBLE), 0), coalesce(CAST(hour(ts) AS DOUBLE), 0), coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0)] AS f, {_LABEL} AS label FROM events),
+half AS (SELECT min(id) + (max(id) - min(id) + 1) // 2 AS mid FROM inst), slots AS (SELECT CAST(unnest(range({c.n_trees})) AS BIGINT) AS slot),
+bag AS (SELECT id, slot, f, label, {draws.poisson_sql('u', a.lambda_)} AS k FROM (SELECT id, slot, f, label, {draws.uniform_sql('id', 'slot', c.seed + 7)} AS u FROM inst, half, slots WHERE id < mid AND label IS NOT NULL)),
+own AS (SELECT slot, feature FROM slots, (SELECT CAST(unnest(range(4)) AS BIGINT) AS feature) x WHERE {draws.subset_sql(4, a.subspace_size(4), 'slot * 1000003', c.seed + 101, 'feature')}),
+vals AS (SELECT slot, feature, label AS cls, CAST(k AS DOUBLE) AS k, f[feature + 1] AS x FROM bag JOIN own USING (slot) WHERE k > 0),
+sums AS (SELECT slot, feature, cls, sum(k) AS n, sum(k * x) / sum(k) AS mean, sum(k * x * x) - sum(k * x) * sum(k * x) / sum(k) AS m2, min(x) AS lo, max(x) AS hi FROM vals GROUP BY ALL),
+stats AS (SELECT *, CASE WHEN n > 1 THEN sqrt(greatest(m2, 0) / (n - 1)) ELSE 0 END AS dev FROM sums),
+points AS (SELECT slot, feature, i, lo + (hi - lo) / 11 * (i + 1) AS point FROM (SELECT slot, feature, min(lo) AS lo, max(hi) AS hi FROM stats GROUP BY ALL), (SELECT unnest(range(10)) AS i) t),
+zs AS (SELECT slot, feature, i, point, cls, n, dev, mean, CASE WHEN dev >= 1e-10 THEN (point - mean) / (dev * sqrt(2.0::DOUBLE)) ELSE 1 END AS z FROM points JOIN stats USING (slot, feature)),
+cut AS (SELECT slot, feature, i, point, cls, n, n * CASE WHEN dev < 1e-10 THEN CAST(point >= mean AS INT) ELSE (1 + {erf}) / 2 END AS l FROM zs),
+sides AS (SELECT *, greatest(n - l, 0) AS r, sum(n) OVER o AS an, sum(l) OVER o AS al, sum(greatest(n - l, 0)) OVER o AS ar FROM cut WINDOW o AS (PARTITION BY slot, feature, i)),
+gains AS (SELECT slot, feature, i, point, max(an) AS n, sum({term('n', 'an')}) AS own_entropy, sum({term('n', 'an')}) - max(al) / max(an) * sum({term('l', 'al')}) - max(ar) / max(an) * sum({term('r', 'ar')}) AS gain,
+  map(list(cls), list(l)) AS ls, map(list(cls), list(r)) AS rs FROM sides WHERE al >= 1 AND ar >= 1 GROUP BY ALL HAVING own_entropy > 1e-12),
+by_feature AS (SELECT * REPLACE (round(gain, 9) AS gain) FROM gains QUALIFY row_number() OVER (PARTITION BY slot, feature ORDER BY round(gain, 9) DESC, i) = 1),
+ranked AS (SELECT *, lead(gain) OVER (PARTITION BY slot ORDER BY gain DESC, feature) AS second, row_number() OVER (PARTITION BY slot ORDER BY gain DESC, feature) AS place FROM by_feature),
+split AS (SELECT slot, feature, point, [coalesce(ls[c], 0) FOR c IN range(5)] AS low, [coalesce(rs[c], 0) FOR c IN range(5)] AS high FROM ranked WHERE place = 1 AND (gain - coalesce(second, '-inf'::DOUBLE) > sqrt(ln(1 / {a.delta}::DOUBLE) / (2 * n)) OR sqrt(ln(1 / {a.delta}::DOUBLE) / (2 * n)) < {a.tau})),
+later AS (SELECT id, f, label, slot FROM inst, half, slots WHERE id >= mid),
+classes AS (SELECT slot, cls, max(n) AS n FROM stats GROUP BY ALL), total AS (SELECT slot, sum(n) AS n FROM classes GROUP BY slot),
+density AS (SELECT l.id, l.slot, s.cls, product(CASE WHEN s.n <= 1 THEN 0 WHEN dev < 1e-10 THEN CAST(l.f[feature + 1] = mean AS INT) ELSE exp(-(l.f[feature + 1] - mean) * (l.f[feature + 1] - mean) / (2 * dev * dev)) / (dev * sqrt(2 * pi())) END) AS p FROM later l JOIN stats s USING (slot) WHERE slot NOT IN (SELECT slot FROM split) GROUP BY ALL),
+scores AS (SELECT d.id, d.slot, map(list(d.cls), list(c.n / t.n * d.p)) AS m FROM density d JOIN classes c USING (slot, cls) JOIN total t USING (slot) GROUP BY ALL),
+naive AS (SELECT id, slot, [coalesce(m[c], 0) FOR c IN range(5)] AS v FROM scores),
+told AS (SELECT l.id, l.slot, CASE WHEN s.slot IS NULL THEN {shares('n.v')} WHEN l.f[s.feature + 1] <= s.point THEN {shares('s.low')} ELSE {shares('s.high')} END AS v, CASE WHEN s.slot IS NULL THEN 0 ELSE 1 END AS depth
+  FROM later l LEFT JOIN split s USING (slot) LEFT JOIN naive n ON n.id = l.id AND n.slot = l.slot),
+votes AS (SELECT id, {', '.join(f'sum(v[{k + 1}]) AS v{k}' for k in range(5))}, avg(depth) AS d FROM told GROUP BY id),
+won AS (SELECT id, CASE greatest(v0, v1, v2, v3, v4) WHEN v4 THEN 4 WHEN v3 THEN 3 WHEN v2 THEN 2 WHEN v1 THEN 1 ELSE 0 END AS winner, d FROM votes)
+SELECT id AS instance_id, label IS NOT DISTINCT FROM coalesce(winner, 4) AS is_correct, false AS drift_detected, round(coalesce(d, 0), 6) AS avg_depth FROM inst LEFT JOIN won USING (id)"""
+
+
+def _blocks(kind: str) -> Query:
+    """The whole run in blocks that double, with drift detection."""
+    config = EnsembleConfig("events", 10, 0, HoeffdingConfig(kind, numeric_estimator="gaussian"), "weighted")
+    return lambda spark, sf_dir: blocks.prequential_blocks(event_instances(spark, sf_dir), config)
+
+
+for _kind in ("srp", "arf"):
+    QUERIES[f"{_kind}_block"], SQL[f"{_kind}_block"], QUERIES[f"{_kind}_blocks"] = _block(_kind), _block_sql(_kind), _blocks(_kind)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
