@@ -55,8 +55,16 @@ def read_header(spark: SparkSession, path: str) -> ArffSchema:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("_at"))
-    return text.where((F.col("line") != "") & ~F.col("line").startswith("%") & ~F.col("line").startswith("@"))
+    """_file, _block, _at (order within it) and line for each row of data.
+
+    A file's data begin after its line `@data`, or with the first line that isn't a declaration; from there on a line may begin with `@`.
+    """
+    text = spark.read.text(path).select(F.btrim("value", F.lit(" \t\r\x0b\x0c")).alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    text = text.where((F.col("line") != "") & ~F.col("line").startswith("%"))
+    head = F.lower(F.substring("line", 1, 5)) == "@data"
+    starts = text.where(~F.col("line").startswith("@") | head).groupBy("_file").agg(F.min(F.struct("_block", F.col("_at"), head.alias("head"))).alias("_start"))
+    here, start = F.struct("_block", F.col("_at"), F.lit(False).alias("head")), F.col("_start")
+    return text.join(F.broadcast(starts), "_file").where((here > start) | ((here == start) & ~start["head"])).drop("_start")  # one row a file
 
 
 def _dense(schema: ArffSchema) -> Column:
@@ -72,12 +80,9 @@ def _sparse(schema: ArffSchema) -> Column:
 
 
 def _cells(spark: SparkSession, path: str, schema: ArffSchema) -> DataFrame:
-    lines = _lines(spark, path)
-    dense = lines.where(~F.col("line").startswith("{")).withColumn("cells", _dense(schema))
-    sparse = lines.where(F.col("line").startswith("{"))
-    safe = sparse.where(F.col("line").rlike(r"\S+\s+\S+")).withColumn("cells", _sparse(schema))
-    empty = sparse.where(~F.col("line").rlike(r"\S+\s+\S+")).withColumn("cells", F.array(*([F.lit("0")] * len(schema.features)), F.lit("?")))
-    return dense.unionByName(safe).unionByName(empty)
+    empty = F.array(*([F.lit("0")] * len(schema.features)), F.lit("?"))
+    sparse = F.when(F.col("line").rlike(r"\S+\s+\S+"), _sparse(schema)).otherwise(empty)
+    return _lines(spark, path).withColumn("cells", F.when(F.col("line").startswith("{"), sparse).otherwise(_dense(schema)))
 
 
 def corrupt_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -100,13 +105,12 @@ def read_arff(spark: SparkSession, path: str, missing: str = "zero") -> DataFram
             continue
         values.append(ordinal(cell, list(a.categories)) if a.categories is not None else number_or_zero(cell))
     label = F.element_at("cells", len(schema.attributes))
-    rows = rows.select("_at", F.array(*values).alias("features"), F.when(label != "?", label).alias("raw_label"))
-    # Dense ids: places within Spark's partitions, after the rows of those before; the counts have one row a partition.
-    rows = rows.withColumn("_part", F.shiftright("_at", 33))
-    counts = rows.groupBy("_part").count()
-    before = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
-    numbered = rows.withColumn("_place", place).join(before, "_part").select((F.col("_before") + F.col("_place") - 1).alias("instance_id"), "features", "raw_label")
+    rows = rows.select("_file", "_block", F.array(*values).alias("features"), F.when(label != "?", label).alias("raw_label"), F.monotonically_increasing_id().alias("_id"))
+    # Dense ids: the rows that are left of a file's block follow each other, after those of the blocks before; the counts have one row a block.
+    counts = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_file", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_before"))
+    numbered = rows.join(before, ["_file", "_block"]).select((F.col("_before") + F.col("_id")).alias("instance_id"), "features", "raw_label")
     ids = label_dictionary(numbered, "raw_label", "instance_id")
     return numbered.join(ids, F.col("raw_label") == F.col("label"), "left").select("instance_id", "features", F.col("label_id").cast("int").alias("label"), "raw_label")
 

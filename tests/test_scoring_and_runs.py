@@ -188,3 +188,26 @@ def test_arff_keeps_missing_null(spark, tmp_path):
     assert [r["features"] for r in rows] == [[None, 1.0], [2.0, None], [None, None]] and [r["label"] for r in rows] == [0, 1, None]
     with pytest.raises(ValueError, match="missing"):
         arff.read_arff(spark, str(tmp_path / "a.arff"), missing="x")
+
+
+def test_arff_keeps_rows_that_begin_with_at(spark, tmp_path):
+    head = "% c\n@relation r\n@attribute a {@x,y}\n@attribute b numeric\n@attribute c {n,p}\n"
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "1.arff").write_text(head + "@DATA\n@x,1,p\n\n% no\n\t@data,2,n\r\n@x,3,p\n@attribute z numeric\n")
+    (tmp_path / "d" / "2.arff").write_text("@relation other\n" + head + "y,4,n\n@x,5,n\n{0 @x, 2 p}\n")
+    rows = [tuple(r) for r in arff.read_arff(spark, str(tmp_path / "d")).orderBy("instance_id").collect()]
+    assert rows == [(0, [0.0, 1.0], 0, "p"), (1, [0.0, 2.0], 1, "n"), (2, [0.0, 3.0], 0, "p"), (3, [1.0, 4.0], 1, "n"), (4, [0.0, 5.0], 1, "n"), (5, [0.0, 0.0], 0, "p")]
+    assert [r[0] for r in arff.corrupt_rows(spark, str(tmp_path / "d")).collect()] == ["@attribute z numeric"]
+
+
+def test_arff_ids_are_dense_over_blocks(spark, tmp_path):
+    lines = ["@relation r", "@attribute a numeric", "@attribute c {n,p}", "@data", *(f"{i},{'np'[i % 2]}" if i % 5 else "% x" for i in range(4000))]
+    (tmp_path / "a.arff").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = arff.read_arff(spark, str(tmp_path / "a.arff"))
+        assert rows.rdd.getNumPartitions() > 1
+        got = sorted((r["instance_id"], r["features"][0]) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(k, float(i)) for k, i in enumerate(i for i in range(4000) if i % 5)]
