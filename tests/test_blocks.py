@@ -8,12 +8,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from canopy import queries
 from canopy.functions import draws
 from canopy.operators import block_trees, histograms, scoring, voting, windows
 from canopy.plans import blocks
 from canopy.plans.config import EnsembleConfig, HoeffdingConfig, MondrianConfig
-from tests.conftest import SMALL
 
 
 def stream(n, flip, seed=0, classes=2):
@@ -350,16 +348,6 @@ def test_forests_in_parts_score_alike(spark):
     assert one == many and len(one) == 200
 
 
-@pytest.mark.parametrize("name", ["adaptive_windows", "histogram_bins", "histogram_split_gains", "srp_block", "arf_block", "counter_draws"])
-def test_new_queries_match_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("events", "lineitem"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
-    got = queries.queries()[name](spark, SMALL)
-    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
-    assert sorted(map(tuple, got.collect())) == sorted(want) and want
-
-
 def test_voting_of_blocks(spark):
     x, y = stream(700, 700)
     config = EnsembleConfig("x", 3, 0, HoeffdingConfig("srp", numeric_estimator="gaussian"), "majority")
