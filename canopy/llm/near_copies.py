@@ -6,11 +6,13 @@ Similar pairs differ in up to 11 bits and more, which no index reaches that prun
 fingerprints miss, between texts that are not in one component yet: a prefix filter.  With all shingles in one fixed order, two sets
 that are similar enough share one among the first `n - ceil(0.8 n) + 1` of each, at places that leave room for the common shingles they
 need.  The order puts shingles that are frequent in a sample last; it decides the cost and not the result.  A pair whose prefixes share
-`c` shingles has `c` and the rest of one set in common at most, which rules out nearly all that only share a passage; and two sets differ in
-as many shingles at least as their parities do in bits (a bit tells whether a set has an odd number of the shingles that hash to it),
-which rules out nearly all edited copies of one text that are too far from each other.  What is left is verified.
+`c` shingles has `c` and the rest of one set in common at most; and two sets differ in as many shingles at least as their parities do in
+bits (a bit tells whether a set has an odd number of the shingles that hash to it).  Parities go along with the shingles, so that texts that
+share passages only, or are edited copies of one text and too far from each other, are told apart where they meet and make no pair.  Of these meetings
+there are as many as the square of the rows of a shingle within the reach of a size; those of a shingle with many rows are dealt out in parts.  What is left is verified.
 Before that, texts with the same smallest hash (of three) are held against those among them that have most shingles of the frequent,
-which edited copies are most like, so that a large cluster of near copies is mostly one component by then and costs few pairs.  Texts of fewer than five words are one shingle.
+which edited copies are most like, so that a large cluster of near copies is mostly one component by then: shingles within one component are left out.
+Texts of fewer than five words are one shingle.
 
 Rows get their ids once, in the table that holds their features, and are told apart by these, so repeated rows and ids are one
 component each with what equals them.  The row of smallest doc_id stays (a null id counts as the largest), of equals the first written.
@@ -48,6 +50,8 @@ class NearCopyParams:
     salts: int = 16
     #: Hubs of a part in each round.
     hubs: tuple[int, ...] = (1, 4)
+    #: Rows of a shingle that meet in one place; more are dealt out in parts, each of which meets each.
+    meeting: int = 4096
 
 
 def shingle_hashes(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -85,9 +89,13 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=1024) % 2 == 1).tobytes()
 
 
-def bits_apart(a: pa.BinaryArray, b: pa.BinaryArray) -> np.ndarray:
+def parities(column: pa.BinaryArray) -> np.ndarray:
+    """A column of parities as a matrix of 16 numbers a row."""
+    return from_binaries(column, "<u8")[0].reshape(-1, 16)
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The numbers of bits in which parities differ; their sets differ in as many hashes at least."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, 16) for c in (a, b))
     return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
@@ -148,10 +156,10 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by the first of them, in pieces that hold all rows of a value."""
+    """Columns of rows sorted by the first of them, in pieces that hold all rows of a value; binary ones are parities."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        now = [np.asarray(c) for c in batch.columns]
+        now = [parities(c) if pa.types.is_binary(c.type) else np.asarray(c) for c in batch.columns]
         if not batch.num_rows:
             continue
         if held is not None:
@@ -178,45 +186,75 @@ def least_common(n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndar
     return np.ceil(similarity / (1 + similarity) * (n_a + n_b) - 1e-9)
 
 
+def most_apart(n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
+    """The most shingles that are in one only of two sets of these sizes that are similar enough."""
+    return n_a + n_b - 2 * least_common(n_a, n_b, similarity)
+
+
+def _dealt(nodes: DataFrame, p: NearCopyParams) -> DataFrame:
+    """Rows (key, n, row, place, root, part) of (token, n, row, place, root): those of a token under one key, or under a key for each two of its parts.
+
+    Tokens within one component are left out.
+    """
+    sizes = nodes.groupBy("token").agg(F.count("*").alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    parts = F.ceil(F.col("rows") / F.lit(p.meeting)).cast("int")
+    rows = nodes.join(sizes.select("token", parts.alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.when(F.col("parts") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")))
+    # Two parts meet under their own key only, and rows of one part under the key of that part with itself.
+    return rows.select(key.alias("key"), "n", "row", "place", "root", F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("part"))
+
+
 def _pairs(p: NearCopyParams):  # noqa: ANN202
-    """Pairs (a, b) of rows of (token, n, row, place, root) with different roots whose first common shingle this could be, if they are similar."""
+    """Pairs (a, b) of rows of (key, n, row, place, root, part, parity) with different roots whose sizes, places and parities allow similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, n, row, place, root in _groups(batches):
-            a, d = np.arange(len(token) - 1), 1
+        found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+
+        def taken() -> pa.RecordBatch:
+            made = np.sort(np.concatenate(found, axis=1), axis=0)
+            del found[1:]
+            return pa.RecordBatch.from_pydict({"a": made[0], "b": made[1]})
+
+        for key, n, row, place, root, part, bits in _groups(batches):
+            a, d = np.arange(len(key) - 1), 1
             while len(a):
-                a = a[a + d < len(token)]
+                a = a[a + d < len(key)]
                 b = a + d
-                # Sizes grow within a token: once they are too far apart they stay so.
-                on = (token[a] == token[b]) & (n[a] >= p.similarity * n[b] - 1e-9)
+                # Sizes grow within a key: once they are too far apart they stay so.
+                on = (key[a] == key[b]) & (n[a] >= p.similarity * n[b] - 1e-9)
                 a, b = a[on], b[on]
                 needed = least_common(n[a], n[b], p.similarity)
-                could = (root[a] != root[b]) & (place[a] <= n[a] - needed) & (place[b] <= n[b] - needed)
-                i, j = row[a[could]], row[b[could]]
-                if len(i):
-                    yield pa.RecordBatch.from_pydict({"a": np.minimum(i, j), "b": np.maximum(i, j)})
+                could = (root[a] != root[b]) & ((part[a] < 0) | (part[a] != part[b])) & (place[a] <= n[a] - needed) & (place[b] <= n[b] - needed)
+                a_could, b_could = a[could], b[could]
+                for lo in range(0, len(a_could), 8192):
+                    i, j = a_could[lo : lo + 8192], b_could[lo : lo + 8192]
+                    near = bits_apart(bits[i], bits[j]) <= most_apart(n[i], n[j], p.similarity)
+                    if near.any():
+                        found.append(np.stack((row[i[near]], row[j[near]])))
+                if len(found) > 64:
+                    yield taken()
                 d += 1
+        yield taken()
 
     return run
 
 
 def _could(pairs: DataFrame, reps: DataFrame, p: NearCopyParams) -> DataFrame:
-    """The pairs (a, b) whose parities and whose common shingles, those of their prefixes and one set's rest at most, allow similarity."""
+    """The pairs (a, b) whose common shingles, those of their prefixes and one set's rest at most, allow similarity."""
     pairs = staged(pairs.distinct())
     for c in ("a", "b"):
-        pairs = pairs.join(reps.select(F.col("row").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "parity", "prefix"))), c)
+        pairs = pairs.join(reps.select(F.col("row").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "prefix"))), c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 6):
-            most = sum(np.asarray(batch.column(c)) for c in (2, 3)) - 2 * least_common(*(np.asarray(batch.column(c)) for c in (2, 3)), p.similarity)
-            batch = batch.filter(pa.array(bits_apart(batch.column(4), batch.column(5)) <= most))
+        for batch in text_slices(batches, 4):
             sizes = [np.asarray(batch.column(c)) for c in (2, 3)]
-            both = zip(*([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(c)] for c in (6, 7)), strict=True)
+            both = zip(*([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(c)] for c in (4, 5)), strict=True)
             common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in both], np.int64)
             rest = np.maximum(*(np.ceil(p.similarity * n - 1e-9) - 1 for n in sizes))
             yield batch.select(["a", "b"]).filter(pa.array(common + rest >= least_common(*sizes, p.similarity)))
 
-    return pairs.select("a", "b", "n_a", "n_b", "parity_a", "parity_b", "prefix_a", "prefix_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b").mapInArrow(run, "a long, b long")
 
 
 def _starred(reps: DataFrame, p: NearCopyParams, seed: int, hubs: int) -> DataFrame:
@@ -282,7 +320,8 @@ def _copies(made: DataFrame, p: NearCopyParams) -> DataFrame:
     met = staged(tokens.repartition("token").sortWithinPartitions("token", "n", "row").mapInArrow(_met, "token long, n long, row long, place int"))
     roots = connected_components(known).select(F.col("node").alias("row"), F.col("root").alias("found"))
     nodes = met.join(small_or_plain(roots, 200_000), "row", "left").select("token", "n", "row", "place", F.coalesce("found", "row").alias("root"))
-    pairs = nodes.repartition("token").sortWithinPartitions("token", "n", "row").mapInArrow(_pairs(p), "a long, b long")
+    dealt = _dealt(staged(nodes), p).join(reps.select("row", "parity"), "row").select("key", "n", "row", "place", "root", "part", "parity")
+    pairs = dealt.repartition("key").sortWithinPartitions("key", "n", "row").mapInArrow(_pairs(p), "a long, b long")
     known = known.unionByName(_verified(_could(pairs, reps, p), docs, p))
     roots = connected_components(known).select(F.col("node").alias("stands"), "root")
     rows = rows.join(small_or_plain(roots, 200_000), "stands", "left").select("row", "doc_id", F.coalesce("root", "stands").alias("root"))

@@ -393,7 +393,7 @@ def test_near_copies_by_brute_force(spark, docs):
         groups.setdefault(r, []).append(i)
     wanted = sorted(min((x is None, x or 0) for x in g) for g in groups.values())
     frame = staged(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    for p in (near_copies.NearCopyParams(), near_copies.NearCopyParams(sample=1)):
+    for p in (near_copies.NearCopyParams(), near_copies.NearCopyParams(sample=1), near_copies.NearCopyParams(hubs=(), meeting=3)):
         got = near_copies.drop_near_copies(frame, p)
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == wanted
     stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
@@ -405,13 +405,29 @@ def test_parities_differ_in_no_more_bits_than_sets_in_hashes():
     for n, own in [(0, 0), (0, 3), (1, 1), (146, 10), (146, 60), (2000, 900), (5000, 5000)]:
         common = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
         pairs.append([np.unique(np.concatenate((common, rng.integers(0, 2**63, own).astype(np.uint64) * np.uint64(2) + np.uint64(1)))) for _ in range(2)])
-    columns = [pa.array([near_copies.parity(x[k]) for x in pairs], pa.binary()) for k in (0, 1)]
+    columns = [near_copies.parities(pa.array([near_copies.parity(x[k]) for x in pairs], pa.binary())) for k in (0, 1)]
     apart = near_copies.bits_apart(*columns)
     assert all(a <= len(np.setxor1d(x, y)) for a, (x, y) in zip(apart, pairs, strict=True))
     assert apart[0] == 0 and apart[4] > 80
     assert len(near_copies.bits_apart(columns[0][:0], columns[1][:0])) == 0
 
 
+def test_texts_of_common_sentences_make_no_pairs(spark):
+    rng = random.Random(3)
+    sentences = [" ".join(f"w{rng.randrange(3000)}" for _ in range(10)) for _ in range(60)]
+    texts = [" ".join(rng.sample(sentences, 20)) for _ in range(400)] + [" ".join(sentences[:20]), " ".join([*sentences[:20], "more words"])]
+    sets = near_copies.shingle_hashes(pa.array(texts), 5)
+    rows = []
+    for i, own in enumerate(sets):
+        prefix = own[: len(own) - math.ceil(0.8 * len(own)) + 1]
+        rows += [(int(t), len(own), i, at, i, -1, near_copies.parity(own)) for at, t in enumerate(prefix.view(np.int64))]
+    fields = [("key", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("root", pa.int64()), ("part", pa.int32()), ("parity", pa.binary())]
+    batch = pa.Table.from_pylist([dict(zip([f for f, _ in fields], r, strict=True)) for r in sorted(rows)], pa.schema(fields)).combine_chunks()
+    made = pa.Table.from_batches(near_copies._pairs(near_copies.NearCopyParams())(iter(batch.to_batches(1000))))
+    assert set(zip(made["a"].to_pylist(), made["b"].to_pylist(), strict=True)) == {(400, 401)}
+    assert sum(n * (n - 1) // 2 for n in np.unique([r[0] for r in rows], return_counts=True)[1].tolist()) > 100_000
+
+
 def test_contamination_of_items_edited_at_each_place(spark):
     rng = random.Random(11)
     common = [f"c{i}" for i in range(30)]
