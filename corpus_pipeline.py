@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from canopy.llm import decontaminate, lang_id, mixing, near_copies, secret_scan
 from canopy.llm.common import staged, table
 
-#: Rows that go to Python at once: with texts of some kilobytes, Spark's 10,000 would be tens of megabytes on both sides.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows, and bytes of them, that go to Python at once: with texts of some kilobytes, Spark's 10,000 would be tens of megabytes on both sides.
+BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded(spark: SparkSession) -> None:
-    """Lowers the session's rows in a batch, unless they are fewer already."""
-    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, BATCH_ROWS)
+    """Lowers the session's rows and bytes in a batch, unless they are fewer already."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, BATCH_ROWS)
+    if not 0 < int(spark.conf.get(_BYTES).removesuffix("b")) <= BATCH_BYTES:
+        spark.conf.set(_BYTES, f"{BATCH_BYTES}b")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
