@@ -160,11 +160,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, p: QualityParams) -> PuMod
 
 
 def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    """Measures of about `most` rows, chosen by a hash of the row; all of them if there are no more."""
+    """Measures of about `most` rows and no more, chosen by a hash of id and measures and so the same however files are split; all of them if there are no more."""
     n = rows.count()
-    share = F.pmod(F.xxhash64("rid"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = rows.select(F.xxhash64("doc_id", "measures").alias("key"), "measures")
+    share = F.pmod("key", F.lit(1 << 40)) / F.lit(float(1 << 40))
     some = rows.where(share < 0.97 * most / n) if n > most else rows
-    return np.array([r["measures"] for r in some.select("rid", "measures").orderBy("rid").collect()], float).reshape(-1, len(MEASURES))
+    return np.array([r["measures"] for r in some.orderBy("key", "measures").limit(most).collect()], float).reshape(-1, len(MEASURES))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, p: QualityParams | None = None) -> DataFrame:

@@ -241,13 +241,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None
     voted = staged(_voted(rows, learned, p))
     anchored = voted.join(known, "doc_id", "left").withColumn("anchor", F.when(~F.col("held_out"), F.col("toxic")))
     patterns = anchored.groupBy("votes").agg(F.count(F.when(F.col("anchor").isNull(), 1)), F.count(F.when(F.col("anchor") == 0, 1)), F.count(F.when(F.col("anchor") == 1, 1))).collect()
+    patterns.sort(key=lambda r: bytes(r["votes"]))
     n = Voters([], p).n
     votes = np.array([list(r["votes"]) for r in patterns], int).reshape(-1, n)
     counts = np.array([r[1:] for r in patterns], float).reshape(-1, 3)
     model = LabelModel(n, p.prior).fit(votes, counts[:, 0], counts[:, 1:], p.rounds)
     total = counts.sum()
-    share = F.pmod(F.xxhash64("rid"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    some = (voted.where(share < 0.97 * p.most_rows / total) if total > p.most_rows else voted).select("rid", "votes", "counts").orderBy("rid").collect()
+    # By a hash of id and content, so the same rows however files are split; repeated rows share their hash, hence the limit.
+    keyed = voted.select(F.xxhash64("doc_id", "votes", "counts").alias("key"), "votes", "counts")
+    share = F.pmod("key", F.lit(1 << 40)) / F.lit(float(1 << 40))
+    some = (keyed.where(share < 0.97 * p.most_rows / total) if total > p.most_rows else keyed).orderBy("key", "votes", "counts").limit(p.most_rows).collect()
     own = np.array([list(r["votes"]) for r in some], int).reshape(-1, n)
     weights = fit_linear(inputs(own, np.array([r["counts"] for r in some], float).reshape(-1, 4)), model.posterior(own)) if some else np.zeros(2 * n + 5)
     sent = docs.sparkSession.sparkContext.broadcast(weights)

@@ -495,3 +495,15 @@ def test_text_ids_fit_a_long_at_any_partition():
     last = ((((1 << 24) - 1 << lm_score.CHUNK_BITS) + (1 << lm_score.CHUNK_BITS) - 1) << lm_score.TEXT_BITS) + (1 << lm_score.TEXT_BITS) - 1
     assert last == 2**63 - 1 and 40_000 < 1 << 24 and lm_score.LmParams().chunk // 4 < 1 << lm_score.TEXT_BITS
     assert len({(p << lm_score.CHUNK_BITS) + k for p in (0, 1, 40_000) for k in (0, 1, 5)}) == 9
+
+
+def test_scores_do_not_depend_on_how_files_are_split(spark, docs):
+    some = docs.limit(120)
+    rows = [tuple(r) for r in some.collect()] + [(-1, "the same words again and again", None, None, None)] * 60
+    labels = table(spark, SMALL, "labels")
+    for score, p in ((quality_pu.score_quality, quality_pu.QualityParams(most_rows=50)), (toxicity.score_toxicity, toxicity.ToxicityParams(most_rows=50))):
+        got = []
+        for order, parts in ((rows, 2), (rows[::-1], 5)):
+            frame = spark.createDataFrame(order, docs.schema).repartition(parts)
+            got.append(sorted((r["doc_id"], round(r["score"], 9)) for r in score(frame, labels, p).collect()))
+        assert got[0] == got[1]
