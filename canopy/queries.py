@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import draws
 from canopy.functions import exprs as X
-from canopy.operators import histograms, metrics, preprocess, scoring, voting, windows
+from canopy.operators import histograms, metrics, mondrian_levels, preprocess, scoring, voting, windows
 from canopy.plans import blocks
 from canopy.plans import prequential as P
 from canopy.plans.config import EnsembleConfig, HoeffdingConfig, MondrianConfig
@@ -546,6 +546,53 @@ for _kind in ("srp", "arf"):
     QUERIES[f"{_kind}_block"], SQL[f"{_kind}_block"], QUERIES[f"{_kind}_blocks"] = _block(_kind), _block_sql(_kind), _blocks(_kind)
 
 
+_MONDRIAN, _LEVELS, _DEEP = MondrianConfig(split_pure=True), mondrian_levels.LevelParams(max_depth=4), mondrian_levels.LevelParams(max_depth=7)
+_VECTORS = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS f, label FROM embeddings"
+_VECTOR_CTE = mondrian_levels.oracle_cte(f"{_VECTORS} WHERE vec_id % 2 = 0", _MONDRIAN, 3, 64, 10, SEED, _LEVELS)
+
+
+def _walk_sql(source: str, n_trees: int, depth: int, n_classes: int, key: str) -> str:
+    """Votes for every row of a source by the trees of `oracle_cte`."""
+    walk = [f"q0 AS (SELECT id, f, CAST(tree_id AS BIGINT) AS tree_id, CAST(1 AS BIGINT) AS node FROM ({source}) s, (SELECT unnest(range({n_trees})) AS tree_id) t)"]
+    walk += [f"q{d + 1} AS (SELECT id, f, q.tree_id, CASE WHEN s.node IS NULL THEN q.node WHEN f[s.feature + 1] <= s.threshold THEN q.node * 2 ELSE q.node * 2 + 1 END AS node FROM q{d} q LEFT JOIN (SELECT * FROM n{d} WHERE feature IS NOT NULL) s ON s.tree_id = q.tree_id AND s.node = q.node)" for d in range(depth)]
+    votes = ", ".join(f"round(sum(v.votes[{c + 1}]), 6) AS v{c}" for c in range(n_classes))
+    return f"{', '.join(walk)} SELECT q.id AS {key}, {votes}, round(avg(v.depth), 6) AS avg_depth FROM q{depth} q JOIN forest v ON v.tree_id = q.tree_id AND v.node = q.node GROUP BY q.id"
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("instance_id"), "embedding", "label").select("instance_id", F.col("embedding").cast("array<double>").alias("features"), "label")
+
+
+def _level_votes(told: DataFrame, key: str, n_classes: int) -> DataFrame:
+    return told.select(F.col("instance_id").alias(key), *(_r(F.get("combined", F.lit(c))).alias(f"v{c}") for c in range(n_classes)), _r("avg_depth").alias("avg_depth"))
+
+
+@query(f"WITH {_VECTOR_CTE} SELECT tree_id, node, CAST(depth AS INTEGER) AS depth, n, CAST(feature AS INTEGER) AS feature, round(threshold, 6) AS threshold, round(split_time, 6) AS split_time, round(weight, 6) AS weight, round(log_weight, 6) AS log_weight FROM forest")
+def mondrian_level_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of three Mondrian trees drawn level by level from the even-numbered vectors, with boxes over all their components."""
+    nodes = mondrian_levels.grow(_vectors(spark, sf_dir).where("instance_id % 2 = 0"), _MONDRIAN, 3, 64, 10, SEED, _LEVELS)
+    return nodes.select(F.col("tree_id").cast("long").alias("tree_id"), "node", "depth", "n", "feature", *(_r(c).alias(c) for c in ("threshold", "split_time", "weight", "log_weight")))
+
+
+@query(f"WITH {_VECTOR_CTE}, {_walk_sql(_VECTORS, 3, 4, 10, 'vec_id')}")
+def mondrian_level_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Soft votes of those trees for every vector."""
+    rows = _vectors(spark, sf_dir)
+    trees = mondrian_levels.fit(rows.where("instance_id % 2 = 0"), _MONDRIAN, 3, 64, 10, SEED, _LEVELS)
+    return _level_votes(scoring.score_forest(mondrian_levels.clean(rows, 64), trees, 10), "vec_id", 10)
+
+
+_EVENT_ROWS = f"SELECT event_id AS id, [coalesce(CAST(value AS DOUBLE), 0), coalesce(CAST(user_id AS DOUBLE), 0), coalesce(CAST(hour(ts) AS DOUBLE), 0), coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0)] AS f, {_LABEL} AS label FROM events"
+
+
+@query(f"WITH {mondrian_levels.oracle_cte(_EVENT_ROWS, MondrianConfig(), 5, 4, 5, SEED, _DEEP)}, {_walk_sql(_EVENT_ROWS, 5, 7, 5, 'event_id')}")
+def mondrian_level_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five trees of seven levels from all events, whose pure nodes stay leaves, and their soft votes for each event."""
+    rows = event_instances(spark, sf_dir)
+    trees = mondrian_levels.fit(rows, MondrianConfig(), 5, 4, len(EVENT_TYPES), SEED, _DEEP)
+    return _level_votes(scoring.score_forest(mondrian_levels.clean(rows, 4), trees, len(EVENT_TYPES)), "event_id", len(EVENT_TYPES))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
