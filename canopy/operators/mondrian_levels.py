@@ -2,11 +2,12 @@
 
 A Mondrian tree can be drawn from a whole table at once: a node waits for a time that is exponential in the extents of its box, splits a feature drawn
 in proportion to them, at a uniform place within the box.  Nodes have heap numbers (root 1, children 2k and 2k + 1), and draws depend on seed, tree and
-node alone, so a lost task draws the same tree again.  A level goes down by a join of rows with the splits above; rows that have reached a leaf drop out.
+node alone, so a lost task draws the same tree again.  Rows walk the splits above, a constant of the plan, down to the open nodes; rows that have reached
+a leaf drop out.  A forest of more than `sent_splits` goes on by joins of rows with a level's splits.
 
 How well a node has predicted its instances in order depends on its class counts only (the order of a Polya urn doesn't matter), so its weight is a
 closed form and needs no stream.  The rule of the in-order learner is kept: a node doesn't weigh its own first instance, unless that is the tree's first.
-Log weights come up and votes go down by a join a level.  No node table passes the driver, and no tree is in one task.
+Log weights come up and votes go down by a join a level.  The driver holds at most `sent_splits` splits, and no tree is in one task.
 
 Null and non-finite features, and those that a row lacks, count as 0.  Rows without a label are not learned; repeated rows count each; an empty table
 gives no nodes.  What differs from learning in order: with `split_pure` off a pure node stays a leaf for good, while in order it may be split later.
@@ -14,17 +15,18 @@ gives no nodes.  What differs from learning in order: with `split_pure` off a pu
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from canopy.functions import draws
 from canopy.functions.exprs import leaf_probability, log_gamma, log_mean_exp
-from canopy.operators.scoring import NODE
+from canopy.operators.scoring import NODE, leaf_id
 from canopy.plans.config import MondrianConfig
 from canopy.sources.scratch import staged
 
@@ -41,7 +43,7 @@ class LevelParams:
     max_depth: int = 12
     #: Nodes whose time to split is later than this aren't either.
     lifetime: float = math.inf
-    #: Splits of a level that go to all tasks; more are joined by node, and the rows are written once.
+    #: Splits that go to all tasks with the plan; of a larger forest the later levels are joined, and each of these writes its rows once.
     sent_splits: int = 50_000
 
     def __post_init__(self) -> None:
@@ -98,11 +100,48 @@ def descend(rows: DataFrame, splits: DataFrame) -> DataFrame:
     return rows.drop("time").join(splits, KEYS).select("tree_id", (F.col("node") * 2 + high).alias("node"), F.col("split_time").alias("time"), "instance_id", "features", "label")
 
 
+@dataclass
+class _Sent:
+    """Splits so far as a constant: trees of nodes by place, of which those below the last level's splits are open."""
+
+    trees: list[list[dict]]
+    places: dict[tuple[int, int], int]
+    n: int = 0
+
+    @classmethod
+    def roots(cls, n_trees: int) -> _Sent:
+        return cls([[cls._leaf(0, 1, 0.0)] for _ in range(n_trees)], {(t, 1): 0 for t in range(n_trees)})
+
+    @staticmethod
+    def _leaf(place: int, node: int, time: float) -> dict:
+        return {"feature": 0, "threshold": 0.0, "low": place, "high": place, "node": node, "time": time, "open": True}
+
+    def add(self, splits: list[Row]) -> None:
+        for (t, _), place in self.places.items():
+            self.trees[t][place]["open"] = False
+        below = {}
+        for r in splits:
+            nodes, place = self.trees[r["tree_id"]], self.places[r["tree_id"], r["node"]]
+            low = len(nodes)
+            nodes[place] |= {"feature": r["feature"], "threshold": r["threshold"], "low": low, "high": low + 1}
+            for side in range(2):
+                nodes.append(self._leaf(low + side, 2 * r["node"] + side, r["split_time"]))
+                below[r["tree_id"], 2 * r["node"] + side] = low + side
+        self.places, self.n = below, self.n + len(splits)
+
+    def rows(self, known: DataFrame, depth: int) -> DataFrame:
+        """Rows in the open nodes; rows at leaves drop out."""
+        node = "struct<feature:int,threshold:double,low:int,high:int,node:bigint,time:double,open:boolean>"
+        told = F.from_json(F.lit(json.dumps([{"tree_id": t, "nodes": nodes} for t, nodes in enumerate(self.trees)])), f"array<struct<tree_id:int,nodes:array<{node}>>>")
+        walk = F.transform(told, lambda t: F.struct(t["tree_id"].alias("tree_id"), F.get(t["nodes"], leaf_id(F.col("features"), t["nodes"], F.lit(depth))).alias("at")))
+        rows = known.select("instance_id", "features", "label", F.explode(F.filter(walk, lambda w: w["at"]["open"])).alias("_w"))
+        return rows.select("_w.tree_id", "_w.at.node", "_w.at.time", "instance_id", "features", "label")
+
+
 def _levels(instances: DataFrame, config: MondrianConfig, n_trees: int, n_features: int, n_classes: int, decide: Decide, p: LevelParams) -> list[DataFrame]:
     known = clean(instances.where(F.col("label").between(0, n_classes - 1)), n_features)
-    rows = known.select(F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id"), F.lit(1).cast("long").alias("node"), F.lit(0.0).alias("time"), "instance_id", "features", "label")
-    levels: list[DataFrame] = []
-    first = None
+    sent: _Sent | None = _Sent.roots(n_trees)
+    rows, levels, first = sent.rows(known, 0), [], None
     for depth in range(p.max_depth + 1):
         nodes = measured(rows, config, n_features, n_classes, first).withColumn("depth", F.lit(depth))
         if depth < p.max_depth:
@@ -111,13 +150,19 @@ def _levels(instances: DataFrame, config: MondrianConfig, n_trees: int, n_featur
             nodes = nodes.select("*", F.lit(None).cast("double").alias("split_time"), F.lit(None).cast("int").alias("feature"), F.lit(None).cast("double").alias("threshold"))
         nodes = staged(nodes)
         levels.append(nodes)
+        if depth == p.max_depth:
+            break
         if depth == 0 and (root := nodes.select("first").first()) is not None:
             first = root["first"]
         splits = nodes.where("feature IS NOT NULL").select(*KEYS, "feature", "threshold", "split_time")
-        n = splits.limit(p.sent_splits + 1).count()
-        if n == 0:
+        some = splits.limit(p.sent_splits - sent.n + 1 if sent else 1).collect()
+        if not some:
             break
-        rows = descend(rows, F.broadcast(splits)) if n <= p.sent_splits else staged(descend(rows, splits))
+        if sent and sent.n + len(some) <= p.sent_splits:
+            sent.add(some)
+            rows = sent.rows(known, depth + 1)
+        else:  # from here on rows carry their nodes
+            sent, rows = None, staged(descend(rows, splits))
     return levels
 
 
