@@ -303,13 +303,16 @@ def runs_with_final_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).join(final, "id").select("id", "throughput", "final_accuracy")
 
 
-@query("WITH b AS (SELECT label, min(e[1]) AS l1, max(e[1]) AS h1, min(e[2]) AS l2, max(e[2]) AS h2 FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 2 = 0) GROUP BY 1) SELECT vec_id, v.label, round(greatest(l1 - e[1], e[1] - h1, 0) + greatest(l2 - e[2], e[2] - h2, 0), 6) AS extension FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) v JOIN b ON v.label = b.label")
+@query("""WITH x AS (SELECT vec_id, label, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(64)) AS i) t),
+b AS (SELECT label, i, min(v) AS low, max(v) AS high FROM x WHERE vec_id % 2 = 0 GROUP BY ALL)
+SELECT vec_id, label, round(sum(greatest(low - v, v - high, 0)), 6) AS extension FROM x JOIN b USING (label, i) GROUP BY vec_id, label""")
 def mondrian_box_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each vector lies outside the box of its label's even-numbered vectors, over two components."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.element_at("embedding", i).cast("double").alias(f"e{i}") for i in (1, 2)))
-    box = v.where("vec_id % 2 = 0").groupBy("label").agg(*(f(f"e{i}").alias(f"{n}{i}") for i in (1, 2) for n, f in (("l", F.min), ("h", F.max))))
-    parts = [X.box_extension(F.col(f"e{i}"), F.col(f"l{i}"), F.col(f"h{i}")) for i in (1, 2)]
-    return v.join(box, "label").select("vec_id", "label", _r(parts[0] + parts[1]).alias("extension"))
+    """How far each vector lies outside the box of its label's even-numbered vectors, over all components."""
+    v = _vectors(spark, sf_dir)
+    at = lambda i: F.get("features", F.lit(i))
+    box = v.where("instance_id % 2 = 0").groupBy("label").agg(*(f(at(i)).alias(f"{n}{i}") for n, f in (("l", F.min), ("h", F.max)) for i in range(64)))
+    parts = [X.box_extension(at(i), F.col(f"l{i}"), F.col(f"h{i}")) for i in range(64)]
+    return v.join(box, "label").select(F.col("instance_id").alias("vec_id"), "label", _r(sum(parts[1:], parts[0])).alias("extension"))
 
 
 @query(f"SELECT user_id, label, round((n + 0.01) / (sum(n) OVER (PARTITION BY user_id) + 0.05), 6) AS p FROM (SELECT user_id, {_LABEL} AS label, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2)")
