@@ -1,4 +1,5 @@
 import math
+import time
 from collections import defaultdict
 from dataclasses import replace
 
@@ -354,3 +355,25 @@ def test_voting_of_blocks(spark):
     run = blocks.learn_blocks(frame(spark, x, y), config, blocks.BlockParams(first=200))
     out = voting.results(voting.combine(run.results, "majority", 2, 3)).toPandas()
     assert isinstance(out, pd.DataFrame) and len(out) == 700 and block_trees.POINTS == 10
+
+
+def test_a_walk_costs_a_tree_its_depth_and_not_its_nodes(spark):
+    """Copying 40,000 nodes for each row and tree would take minutes; null, NaN and missing features go high."""
+    began, config, rng = time.perf_counter(), HoeffdingConfig("arf", numeric_estimator="gaussian"), np.random.default_rng(0)
+    trees = [block_trees.BlockTree(7 - t, t, False, config, 3, 0) for t in range(3)]
+    for tree in trees:
+        for node in range(20_000):
+            tree.split(node, int(rng.integers(3)), float(rng.random()), [1.0, 2.0], [2.0, 1.0])
+    x = rng.random((20_000, 3))
+    x[::7, 0] = np.nan
+    df = spark.createDataFrame([(i, [None if v != v and i % 2 else float(v) for v in r][: 2 if i % 11 == 0 else 3], i % 2) for i, r in enumerate(x)], "instance_id long, features array<double>, label int")
+    x[::11, 2] = np.nan
+    got = {(r["tree_no"], r["instance_id"]): (r["node"], r["depth"], r["votes"]) for r in block_trees.by_tree(block_trees.told(df, trees, None, [0.0] * 3, config, 2, 0)).where("instance_id % 10 = 0").collect()}
+    assert len(got) == 6000
+    for tree in trees:
+        for i in range(0, 20_000, 10):
+            at = 0
+            while (n := tree.nodes[at]).feature >= 0:
+                at = n.low if x[i][n.feature] <= n.threshold else n.high
+            assert got[tree.tree_no, i] == (at, n.depth, pytest.approx([v / 3 for v in n.prior]))
+    assert time.perf_counter() - began < 60
