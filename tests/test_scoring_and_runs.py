@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from canopy import queries as Q
 from canopy.operators import metrics, scoring
-from canopy.operators.trees import TreeRunner
+from canopy.operators.trees import MondrianLearner, TreeRunner
 from canopy.plans import prequential as P
 from canopy.plans.config import EnsembleConfig, HoeffdingConfig, MondrianConfig
 from canopy.sources import arff, runs
@@ -47,6 +47,39 @@ def test_frozen_trees_answer_as_learners_do(spark, algorithm):
     assert max(n["depth"] for r in forest.collect() for n in r["nodes"]) > 0
 
 
+@pytest.mark.parametrize("algorithm", [GAUSS, MondrianConfig()])
+def test_trees_in_parts_answer_alike(spark, algorithm):
+    """No row holds a tree, and only tops come to the driver."""
+    data, config = blobs(spark), EnsembleConfig("x", 3, 5, algorithm)
+    data += [(1000, [None, 0.5, 0.1], None), (1001, [0.2], None), (1002, [math.nan, 0.0, 0.0], None)]
+    rows = spark.createDataFrame(data, P.INSTANCE).repartition(3)
+    learned = rows.where("instance_id < 1000")
+    wanted = {r["instance_id"]: r for r in scoring.score_forest(rows, scoring.fit(learned, config, 3, 3), 3).collect()}
+    parts = scoring.fit_parts(learned, config, 3, 3, 2 if algorithm is GAUSS else 20)
+    sizes = {(r["tree_id"], r["part"]): r["count"] for r in parts.groupBy("tree_id", "part").count().collect()}
+    assert len(sizes) > 6 and max(n for (_, part), n in sizes.items() if part) <= 20
+    told = scoring.score_parts(rows, parts, 3).collect()
+    assert len(told) == len(data) == len(wanted)
+    for r in told:
+        other = wanted[r["instance_id"]]
+        assert r["combined"] == pytest.approx(other["combined"]) and r["avg_depth"] == pytest.approx(other["avg_depth"]) and r["label"] == other["label"]
+    assert scoring.score_parts(rows, scoring.fit_parts(learned, config, 3, 3), 3).count() == len(data)
+
+
+def test_a_mondrian_node_takes_few_bytes():
+    """A tree has more nodes than instances; objects took about a kilobyte each."""
+    import tracemalloc
+
+    rng, learner = np.random.default_rng(0), MondrianLearner(MondrianConfig(), 4, 5, 0)
+    tracemalloc.start()
+    for x, y in zip(rng.random((3000, 4)), rng.integers(0, 5, 3000).tolist(), strict=True):
+        learner.predict(x)
+        learner.train(x, y, False)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(learner.feature) > 4000 and held / len(learner.feature) < 250
+
+
 def test_odd_features_go_high(spark):
     rows = spark.createDataFrame([(0, [None], None), (1, [math.nan], 1), (2, [1.0], 0), (3, [], 0), (3, [], 0)], P.INSTANCE)
     tree = [scoring.branch(0, 1.0, 1, 2, 0), scoring.leaf(1, 1), scoring.leaf(2, 1)]
