@@ -67,7 +67,7 @@ def test_trees_in_parts_answer_alike(spark, algorithm):
 
 
 def test_a_mondrian_node_takes_few_bytes():
-    """A tree has more nodes than instances; objects took about a kilobyte each."""
+    """A tree has more nodes than instances; as objects they took more."""
     import tracemalloc
 
     rng, learner = np.random.default_rng(0), MondrianLearner(MondrianConfig(), 4, 5, 0)
