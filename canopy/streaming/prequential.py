@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from canopy.operators.trees import TreeRunner
+from canopy.operators.batch_trees import BatchRunner
 from canopy.operators.voting import combine, results
 from canopy.plans.config import EnsembleConfig
 from canopy.plans.prequential import TREE_RESULT, fan_out, result_frame, step_rows
@@ -27,7 +27,7 @@ class TreeProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(rows)).sort_values("instance_id")  # a group has no order of its own
-        runner = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else TreeRunner(self.config, int(key[0]), self.n_features, self.n_classes)
+        runner = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else BatchRunner(self.config, int(key[0]), self.n_features, self.n_classes)
         out = result_frame(step_rows(runner, part))
         self.state.update((pickle.dumps(runner),))
         yield out
