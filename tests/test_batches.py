@@ -1,9 +1,10 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from canopy.operators.batch_trees import BatchRunner
+from canopy.operators.batch_trees import BatchRunner, BatchTree
 from canopy.operators.estimators import Adwin, DriftDetector
 from canopy.operators.trees import TreeRunner
 from canopy.plans import prequential as P
@@ -60,6 +61,31 @@ def test_windows_take_many_at_once():
     assert many.drift.rows == one.drift.rows and many.warning.total == one.warning.total and Adwin.EVERY == 32
 
 
+def test_a_hoeffding_leaf_takes_few_bytes():
+    """As objects, a leaf took more than 2000."""
+    rng = np.random.default_rng(0)
+    x, y = rng.random((60_000, 4)), rng.integers(0, 5, 60_000)
+    tracemalloc.start()
+    tree = BatchTree(HoeffdingConfig("arf", numeric_estimator="gaussian"), 4, 5, np.random.default_rng(1))
+    for at in range(0, len(x), 10_000):
+        tree.run(x[at : at + 10_000], y[at : at + 10_000], np.full(10_000, 6))
+    tree.kept = None
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert tree.n_slots > 300 and held / tree.n_slots < 1000
+
+
+def test_a_tree_sorts_packs_and_keeps_no_votes(spark, monkeypatch):
+    """A tree's task took a row an instance into its sort, and an entry an instance into a map of votes."""
+    monkeypatch.setattr(P, "PACKED", 100)
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, rng.random(3).tolist(), i % 2) for i in range(1050)], P.INSTANCE).repartition(3)
+    dealt = P.deal(rows, 3, 3, 1050).groupBy("tree_id").count().collect()
+    assert len(dealt) == 3 and all(r["count"] == 11 for r in dealt)
+    plan = P.prequential(rows, EnsembleConfig("x", 3, 0, SRP))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "Aggregate" not in plan
+
+
 @pytest.mark.parametrize("algorithm", [SRP, MondrianConfig()])
 def test_packs_keep_order_and_odd_rows(spark, monkeypatch, algorithm):
     """The same however packed; ids that occur twice, and null ones, are answered once a row."""
