@@ -99,3 +99,12 @@ def test_packs_keep_order_and_odd_rows(spark, monkeypatch, algorithm):
         monkeypatch.setattr(P, "PACKED", most)
         monkeypatch.setattr(P, "SORTED", parts)
         assert sorted(P.prequential(rows, config).collect()) == wanted
+
+
+@pytest.mark.parametrize("algorithm", [SRP, ARF])
+def test_no_features_and_one_class(algorithm):
+    for width, classes in ((0, 3), (1, 1)):
+        config, x, y = EnsembleConfig("x", 1, 0, algorithm), np.ones((90, width)), [i % 2 if classes > 1 else 0 for i in range(90)]
+        one, many = TreeRunner(config, 0, width, classes), BatchRunner(config, 0, width, classes)
+        assert P.batch_rows(many, list(range(90)), x, y) == [one.step(i, x[i], y[i]) for i in range(90)]
+        assert P.batch_rows(many, [], x[:0], []) == []
