@@ -66,6 +66,30 @@ def test_trees_in_parts_answer_alike(spark, algorithm):
     assert scoring.score_parts(rows, scoring.fit_parts(learned, config, 3, 3), 3).count() == len(data)
 
 
+def test_instances_meet_parts_in_packs(spark, monkeypatch):
+    """However packed and dealt out, as the learners do; an id that occurs twice had one row with the sum of both."""
+    data, config = blobs(spark), EnsembleConfig("x", 2, 5, MondrianConfig())
+    learned = spark.createDataFrame(data, P.INSTANCE)
+    odd = [(3, [9.0, 0.5, 0.1], 2), (3, [None, 0.5], None), (None, [0.2], None)]
+    rows = spark.createDataFrame(data + odd, P.INSTANCE).repartition(3)
+    parts = scoring.fit_parts(learned, config, 3, 3, 100).persist()
+    runners = [TreeRunner(config, t, 3, 3) for t in range(2)]
+    for runner in runners:
+        for i, x, y in data:
+            runner.step(i, np.array(x), y)
+    wanted = {(i, y): sum(r.learner.predict(np.array(x))[1] for r in runners) for i, x, y in [*data, odd[0]]}
+    for packed, scored in ((65_536, 2_000_000), (70, 40)):
+        monkeypatch.setattr(scoring, "PACKED", packed)
+        monkeypatch.setattr(scoring, "SCORED", scored)
+        got = scoring.score_parts(rows, parts, 3).collect()
+        assert sorted((-1 if r["instance_id"] is None else r["instance_id"], -1 if r["label"] is None else r["label"]) for r in got) == sorted([(i, y) for i, _, y in data] + [(3, 2), (3, -1), (-1, -1)])
+        for r in got:
+            if (r["instance_id"], r["label"]) in wanted and r["label"] is not None:
+                assert r["combined"] == pytest.approx(wanted[r["instance_id"], r["label"]].tolist())
+    assert scoring.score_parts(rows.where("false"), parts, 3).count() == 0
+    parts.unpersist()
+
+
 def test_a_mondrian_node_takes_few_bytes():
     """A tree has more nodes than instances; as objects they took more."""
     import tracemalloc
